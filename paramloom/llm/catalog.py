@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from paramloom.llm import exact_dedup, quality
+from paramloom.llm import exact_dedup, packing, pii, quality, token_counts
 
 QUERIES = {
+    "op1_patterns_checksums": pii.op1_patterns_checksums,
     "op2_block_naming": exact_dedup.op2_block_naming,
+    "op4_digest_cache": token_counts.op4_digest_cache,
+    "op7_configuration_lp": packing.op7_configuration_lp,
     "op8_weak_supervision": quality.op8_weak_supervision,
 }
 ORACLE_SQL = {

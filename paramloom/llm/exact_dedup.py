@@ -111,10 +111,12 @@ def exact_groups(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
     The row with the largest doc_id of each group of equal texts stays.
     """
-    ids = Scratch(spark, "exact-ids").save(identities(spark, docs, **options), "ids")
+    scratch = Scratch(spark, "exact-ids")
+    ids = scratch.save(identities(spark, docs, **options), "ids")
     best = ids.groupBy("n_blocks", "name").agg(
         F.max(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
+    best = scratch.save(best, "best")  # read back, the join deals both sides itself and can split a hot group
     return ids.join(best, ["n_blocks", "name"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
