@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paramloom.llm import exact_dedup, quality
+from paramloom.llm import exact_dedup, mixing, near_dedup, packing, quality
 from paramloom.llm.scratch import Scratch
 
 
@@ -20,7 +20,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(spark, docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(spark, docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sample(spark, docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("mixing", mix),
+    ("packing", pack),
+]
 #: Packing reads token ids, which SQL can't express; a test compares run() with a brute-force version.
 ORACLE_SQL = None
 
