@@ -2,8 +2,8 @@
 
 Both tokenizers used here split a text by a pattern and encode each piece by
 itself. So the ids of a text are those of its pieces in order, and a piece
-needs encoding once per worker: the library encodes pieces not yet seen, a
-bounded dict remembers them. The pattern runs in Python only on texts made of
+needs encoding once per worker: the library's model encodes pieces not yet
+seen, a bounded dict remembers them. The pattern runs in Python only on texts made of
 characters for which both pattern engines are known to agree (``_SAFE``,
 compared exhaustively in the tests); any other text, and one that holds a
 special string, goes to the library whole.
@@ -11,8 +11,10 @@ special string, goes to the library whole.
 
 from __future__ import annotations
 
+import array
 import os
 import re
+import sys
 import unicodedata
 
 from paramloom.llm.scratch import worker_state
@@ -58,6 +60,13 @@ def _patterns() -> dict[str, re.Pattern]:
     }
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies spell each byte: itself if it prints, else the next one from 256."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """kind: 'byte' (byte-level, spaces belong to pieces) or 'word' (lower case, spaces dropped)."""
 
@@ -69,15 +78,17 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind, self.known = kind, {}
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         patterns = _patterns()
         self.unsafe, self.cut = patterns["unsafe"].search, patterns["cut"]
         self.split = patterns[kind].findall
 
     @staticmethod
     def _raw(ids: list[int]) -> bytes:
-        import numpy as np
-
-        return np.asarray(ids, dtype="<u4").tobytes()
+        out = array.array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _whole(self, text: str) -> bytes:
         return self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -111,8 +122,9 @@ class Encoder:
             pass
         new = [p for p in set(pieces) if p not in known]
         extra = {}
-        for piece, done in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            (known if len(piece) <= LONGEST_KEPT else extra)[piece] = self._raw(done.ids)
+        for piece in new:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            (known if len(piece) <= LONGEST_KEPT else extra)[piece] = self._raw([t.id for t in self.tokenize(spelled)])
         out = b"".join([known[p] if p in known else extra[p] for p in pieces])
         if len(known) > MAX_PIECES:
             known.clear()
