@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm.scratch import Scratch, named, text_or_empty
+from paramloom.llm.scratch import Scratch, named, text_or_empty, without
 
 BLOCK_BYTES = 4096
 
@@ -140,6 +140,6 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns (``row_id`` is reserved)."""
-    rows = Scratch(spark, "exact-rows").save(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
-    stay = exact_groups(spark, rows).filter("kept").select("row_id")
-    return rows.join(stay, "row_id", "left_semi").select(*docs.columns)
+    scratch = Scratch(spark, "exact-rows")
+    rows = scratch.save(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    return without(scratch, rows, exact_groups(spark, rows).filter("not kept")).select(*docs.columns)

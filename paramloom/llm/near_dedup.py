@@ -24,8 +24,9 @@ more; a group is a connected component of links.
 A pair below the threshold never links. One above it is missed only if a
 sketch errs by five standard deviations.
 
-Scale. Shuffles carry hashes and ids; texts are shuffled once, to select
-those of step 3, and once for verification of candidates. Lists are counted
+Scale. Shuffles carry hashes and ids. The texts of step 3 are picked by a
+broadcast of their keys if these are at most scratch.SMALL, else by one
+shuffle of the texts; those of candidates are shuffled for verification. Lists are counted
 with map-side aggregation and stars are joins of stored tables, which Spark
 splits where a list is long. Components run on distributed edges.
 
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paramloom.llm.graph import components
-from paramloom.llm.scratch import Scratch, bounded_batches, text_or_empty, worker_state
+from paramloom.llm.scratch import Scratch, bounded_batches, if_small, text_or_empty, without, worker_state
 
 WIDTH = 5
 PERCENT = 85
@@ -182,7 +183,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     maybe = sketches.join(own, "node", "left").filter(f"coalesce(singles, 0) <= {slack}").select("node", "sketch")
     maybe = s.save(maybe, "maybe")
     wanted = s.save(nodes.join(maybe.select("node"), "node", "left_semi").select("node", "t1", "t2", "n"), "wanted")
-    texts = docs.select(*keyed).join(wanted, ["t1", "t2"]).groupBy("node", "n").agg(F.first("text").alias("text"))
+    texts = docs.select(*keyed).join(if_small(wanted), ["t1", "t2"]).groupBy("node", "n").agg(F.first("text").alias("text"))
     texts = s.save(texts, "texts")
 
     # 3. whole sets of these: exact bound, then the prefix index of the rarest shingles
@@ -266,9 +267,9 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each group, with its columns (``row_id`` is reserved)."""
-    rows = Scratch(spark, "near-rows").save(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
-    stay = near_groups(spark, rows).filter("first").select("row_id")
-    return rows.join(stay, "row_id", "left_semi").select(*docs.columns)
+    scratch = Scratch(spark, "near-rows")
+    rows = scratch.save(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    return without(scratch, rows, near_groups(spark, rows).filter("not first")).select(*docs.columns)
 
 
 def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:

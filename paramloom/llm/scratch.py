@@ -62,6 +62,20 @@ def named(scratch: Scratch, keys: DataFrame, label: str, name: str = "name") ->
     return scratch.save(ordered.withColumn(name, F.monotonically_increasing_id()), label)
 
 
+#: Rows of a few numbers each that may be broadcast (some 12 MB of data).
+SMALL = 500_000
+
+
+def if_small(stored: DataFrame, rows: int = SMALL) -> DataFrame:
+    """A stored table of ids, marked for broadcast if it has at most so many rows; else the join shuffles."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
+def without(scratch: Scratch, rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows (with row_id) except those of dropped: texts stay where they are unless very many go."""
+    return rows.join(if_small(scratch.save(dropped.select("row_id"), "dropped")), "row_id", "left_anti")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Texts may be long: hand Python workers batches of few rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
