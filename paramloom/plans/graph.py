@@ -38,14 +38,16 @@ def cycle(children: dict[str, list[str]], start: str) -> list[str]:
 def order(children: dict[str, list[str]], start: str) -> list[str]:
     """The steps under start and itself, each after those it needs."""
     out: dict[str, None] = {}
+    seen: set[str] = set()  # a cycle is entered once
     todo = [(start, False)]
     while todo:
         name, ready = todo.pop()
         if ready:
             out[name] = None
-        elif name not in out:
+        elif name not in seen:
+            seen.add(name)
             todo.append((name, True))
-            todo.extend((c, False) for c in reversed(children.get(name, [])) if c not in out)
+            todo.extend((c, False) for c in reversed(children.get(name, [])) if c not in seen)
     return list(out)
 
 
