@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm.scratch import Scratch, named, text_or_empty, without
+from paramloom.llm.scratch import Scratch, named, numbered_rows, text_or_empty, unboxed, without
 
 BLOCK_BYTES = 4096
 
@@ -43,18 +43,17 @@ def _blocks(rows: DataFrame, block_bytes: int, fingerprint) -> DataFrame:
 
 
 def identities(
-    spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint=_fingerprint
+    spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint=_fingerprint, row_id: str | None = None
 ) -> DataFrame:
     """One row per input row: row_id, doc_id, n_blocks, name, text_sha256.
 
     Rows have the same (n_blocks, name) exactly if their texts are the same.
-    If docs has a column row_id it is kept as the row's identity.
+    row_id: a column that identifies the rows; without it they are numbered.
     """
     scratch = Scratch(spark, "exact")
     text = text_or_empty()
-    row_id = F.col("row_id") if "row_id" in docs.columns else F.monotonically_increasing_id()
     rows = docs.select(
-        row_id.alias("row_id"),
+        (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"),
         F.col("doc_id").cast("long").alias("doc_id"),
         text.cast("binary").alias("body"),
     )
@@ -139,7 +138,8 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns (``row_id`` is reserved)."""
+    """The rows that stay, with all their columns."""
     scratch = Scratch(spark, "exact-rows")
-    rows = scratch.save(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
-    return without(scratch, rows, exact_groups(spark, rows).filter("not kept")).select(*docs.columns)
+    rows = numbered_rows(scratch, docs)
+    groups = exact_groups(spark, rows.select("row_id", "doc.doc_id", "doc.text"), row_id="row_id")
+    return unboxed(without(scratch, rows, groups.filter("not kept")))

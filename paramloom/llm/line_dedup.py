@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paramloom.llm.scratch import Scratch, bounded_batches
+from paramloom.llm.scratch import Scratch, bounded_batches, numbered_rows
 
 MIN_WORDS = 30
 _BREAK = re.compile(r"(?<=[.!?])[ \t\r\x0b\x0c]+|\n")
@@ -58,16 +58,16 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cols[k], kinds.get(k, pa.int64())) for k in names], names=names)
 
 
-def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, row_id: str | None = None) -> DataFrame:
     """row_id, doc_id, start, end, n_words, first_doc_id, first_start per run to remove.
 
-    first_*: where the run's first unit occurs first. If docs has a column
-    row_id it is kept as the row's identity.
+    first_*: where the run's first unit occurs first. row_id: a column that
+    identifies the rows; without it they are numbered.
     """
     s = Scratch(spark, "lines")
     bounded_batches(spark)
-    row_id = F.col("row_id") if "row_id" in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(row_id.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    number = F.col(row_id) if row_id else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = s.save(rows.mapInArrow(_cut, "row_id long, doc_id long, unit int, start int, end int, words int, g1 long, g2 long"), "units")
     groups = cut.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "row_id", "start")).alias("f"))
     groups = groups.filter("c > 1").select(
@@ -97,16 +97,18 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the runs cut out of text, and removed: their original (start, end)."""
-    rows = Scratch(spark, "line-rows").save(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
-    runs = repeated_runs(spark, rows, min_words).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    """docs with the runs cut out of text, and removed_spans: their original (start, end), null if there are none."""
+    rows = numbered_rows(Scratch(spark, "line-rows"), docs)
+    runs = repeated_runs(spark, rows.select("row_id", "doc.doc_id", "doc.text"), min_words, "row_id")
+    runs = runs.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
     joined = rows.join(runs, "row_id", "left")
     cut = F.expr(
-        "if(removed is null, text, concat(array_join(transform(removed, (r, i) -> substring(text,"
+        "if(removed is null, doc.text, concat(array_join(transform(removed, (r, i) -> substring(doc.text,"
         " cast(if(i = 0, 0, removed[greatest(i - 1, 0)].end) + 1 as int), cast(r.start - if(i = 0, 0, removed[greatest(i - 1, 0)].end) as int))), ''),"
-        " substring(text, cast(removed[size(removed) - 1].end + 1 as int))))"
+        " substring(doc.text, cast(removed[size(removed) - 1].end + 1 as int))))"
     )
-    return joined.withColumn("text", cut).select(*docs.columns, "removed")
+    kept = [cut.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns if c != "removed_spans"]
+    return joined.select(*kept, F.col("removed").alias("removed_spans"))
 
 
 def op10_unit_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,9 @@ SEED = "mix-1"
 
 
 def _described(docs: DataFrame, topic: str | None = None) -> DataFrame:
-    """docs with the cell columns _source, _lang, _topic and _tokens."""
+    """doc (all columns of docs), doc_id and the cell columns _source, _lang, _topic and _tokens."""
+    given = F.expr(topic).cast("string") if topic else F.lit(None).cast("string")
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text", "source", "lang", given.alias("_given"))
     t = "coalesce(cast(text as string), '')"
     words = rf"split(trim(BOTH ' \t\n\u000B\f\r' FROM {t}), '[\\x20\\x09-\\x0D]+')"
     df = docs.withColumn("_w", F.expr(f"size({words})")).withColumn(
@@ -51,9 +53,9 @@ def _described(docs: DataFrame, topic: str | None = None) -> DataFrame:
         {
             "_source": F.expr("coalesce(cast(source as string), '')"),
             "_lang": F.expr("coalesce(cast(lang as string), '')"),
-            "_topic": F.expr(f"coalesce(cast({topic} as string), '')" if topic else register),
+            "_topic": F.expr("coalesce(_given, '')" if topic else register),
         }
-    ).drop("_w")
+    ).select("doc", "doc_id", "_source", "_lang", "_topic", "_tokens")
 
 
 def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, topic: str | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
@@ -99,7 +101,7 @@ def weigh(spark: SparkSession, docs: DataFrame, topic: str | None = None, budget
 
 def sample(spark: SparkSession, docs: DataFrame, topic: str | None = None, budget: float = BUDGET) -> DataFrame:
     """The documents that stay, with their columns."""
-    return _drawn(spark, docs, topic, budget).filter("_kept").select(*docs.columns)
+    return _drawn(spark, docs, topic, budget).filter("_kept").select("doc.*")
 
 
 def op5_raking(spark: SparkSession, sf_dir: str) -> DataFrame:

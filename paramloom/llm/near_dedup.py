@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paramloom.llm.graph import components
-from paramloom.llm.scratch import Scratch, bounded_batches, if_small, text_or_empty, without, worker_state
+from paramloom.llm.scratch import Scratch, bounded_batches, if_small, numbered_rows, text_or_empty, unboxed, without, worker_state
 
 WIDTH = 5
 PERCENT = 85
@@ -152,19 +152,19 @@ def _single_owners(entries: DataFrame) -> DataFrame:
     return lists.filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("singles"))
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k: int = K, row_id: str | None = None) -> DataFrame:
     """row_id, doc_id, n_shingles, component_id, kept, first per row.
 
-    first is true for exactly one row of each component, whatever its ids. If
-    docs has a column row_id it is kept as the row's identity.
+    first is true for exactly one row of each component, whatever its ids.
+    row_id: a column that identifies the rows; without it they are numbered.
     """
     s = Scratch(spark, "near")
     bounded_batches(spark)
     t = percent / 100
     text = text_or_empty()
-    row_id = F.col("row_id") if "row_id" in docs.columns else F.monotonically_increasing_id()
+    number = F.col(row_id) if row_id else F.monotonically_increasing_id()
     keyed = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text")]
-    rows = docs.select(row_id.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), *keyed).mapInArrow(
+    rows = docs.select(number.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), *keyed).mapInArrow(
         _sketcher(k), "row_id long, doc_id long, t1 long, t2 long, n long, d1 long, d2 long, sketch array<long>"
     )
     rows = s.save(rows, "rows")
@@ -266,10 +266,11 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group, with its columns (``row_id`` is reserved)."""
+    """One document of each group, with its columns."""
     scratch = Scratch(spark, "near-rows")
-    rows = scratch.save(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
-    return without(scratch, rows, near_groups(spark, rows).filter("not first")).select(*docs.columns)
+    rows = numbered_rows(scratch, docs)
+    groups = near_groups(spark, rows.select("row_id", "doc.doc_id", "doc.text"), row_id="row_id")
+    return unboxed(without(scratch, rows, groups.filter("not first")))
 
 
 def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,9 +245,12 @@ def sequences(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, to
     ids = pieces_of(spark, docs, capacity, tokenizer, with_ids=True)
     keys = ["doc_id", "piece", "ids_crc32", "length"]
     number = Window.partitionBy(*keys).orderBy(F.lit(0))  # equal pieces of repeated rows are interchangeable
-    both = placed.withColumn("n", F.row_number().over(number)).join(
-        ids.withColumn("n", F.row_number().over(number)).select(*keys, "n", "ids"), [*keys, "n"]
-    )
+    there = placed.withColumn("n", F.row_number().over(number))
+    here = ids.withColumn("n", F.row_number().over(number)).select(*keys, "n", "ids")
+    same = F.lit(True)
+    for k in [*keys, "n"]:
+        same = same & there[k].eqNullSafe(here[k])  # a null doc_id has pieces too
+    both = there.join(here, same).select(there["sequence_id"], there["offset"], here["ids"])
     grouped = both.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return grouped.select("sequence_id", F.flatten(F.col("parts.ids")).alias("ids"))
 

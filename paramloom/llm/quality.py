@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm.scratch import Scratch
+from paramloom.llm.scratch import Scratch, boxed
 
 ROUNDS = 12
 THRESHOLD = 0.5
@@ -206,9 +206,9 @@ def judge(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) ->
 def filter_quality(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that stay, with their columns. The measured table is written once and read twice."""
     scratch = Scratch(spark, "quality")
-    measured = scratch.save(with_measures(docs), "measured")
+    measured = scratch.save(with_measures(boxed(docs).select("doc", "text")).drop("text"), "measured")
     judged = _judged(measured, fit(scratch, measured), "q_")
-    return judged.filter(f"not q_base_failed and round(q_posterior, 9) >= {threshold}").select(*docs.columns)
+    return judged.filter(f"not q_base_failed and round(q_posterior, 9) >= {threshold}").select("doc.*")
 
 
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

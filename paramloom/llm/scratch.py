@@ -76,6 +76,20 @@ def without(scratch: Scratch, rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.join(if_small(scratch.save(dropped.select("row_id"), "dropped")), "row_id", "left_anti")
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc (all columns as one struct), doc_id and text: no column of docs can clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
+
+
+def numbered_rows(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """docs boxed and stored with a row_id each."""
+    return scratch.save(boxed(docs).select("doc").withColumn("row_id", F.monotonically_increasing_id()), "rows")
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("doc.*")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Texts may be long: hand Python workers batches of few rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

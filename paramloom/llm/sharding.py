@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paramloom.llm.scratch import Scratch, bounded_batches, named, text_or_empty
+from paramloom.llm.scratch import Scratch, boxed, text_or_empty
 
 SHARDS = 16
 BITS = 5
@@ -134,12 +134,11 @@ def shards(spark: SparkSession, docs: DataFrame, count: int = SHARDS) -> DataFra
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, count: int = SHARDS) -> None:
-    """The documents themselves, in folders shard=0 ... of files sorted along the curve."""
-    keys = shards(spark, docs, count).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    keyed = docs.withColumn("text_crc32", F.crc32(text_or_empty().cast("binary")))
-    same = keyed["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & (keyed["text_crc32"] == keys["text_crc32"])
-    placed = keyed.join(keys, same).select(*[keyed[c] for c in docs.columns], keys["shard"].alias("shard"), keys["slot"].alias("_slot"))
-    placed.repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(path)
+    """The documents themselves, in folders _shard=0 ... of files sorted along the curve."""
+    keys = shards(spark, docs, count).groupBy("doc_id", "text_crc32").agg(F.min(F.struct("shard", "slot")).alias("at"))
+    rows = boxed(docs).select("doc", F.col("doc_id").cast("long").alias("id"), F.crc32(text_or_empty().cast("binary")).alias("crc"))
+    placed = rows.join(keys, rows["id"].eqNullSafe(keys["doc_id"]) & (rows["crc"] == keys["text_crc32"])).select("doc.*", F.col("at.shard").alias("_shard"), F.col("at.slot").alias("_slot"))
+    placed.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
 
 
 def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
