@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from paramloom.llm import catalog, exact_dedup, graph, line_dedup, mixing, near_dedup, packing, pieces, pii, quality, sharding, token_counts, url_filter
 from paramloom.llm.scratch import Scratch
-from tests.llm.helpers import CLASHES, collected, empty, hard, hard_rows, words
+from tests.llm.helpers import CLASHES, SCHEMA, collected, empty, hard, hard_rows, words
 from tests.oracle import check
 
 SF = "/root/testdata/sf0.001"
@@ -281,8 +281,10 @@ def test_configurations_cover_the_histogram():
         assert got == histogram
         least = -(-sum(k * v for k, v in histogram.items()) // capacity)
         assert sum(t for _, t in chosen) <= 1.02 * least + 1
-    third = packing.configurations({6: 900, 5: 900}, 16)  # 5 + 5 + 6 fits exactly
-    assert sum(t for _, t in third) <= 640
+    full = packing.configurations({6: 450, 5: 900}, 16)  # 5 + 5 + 6 fits exactly
+    assert sum(t for _, t in full) == 450
+    # twice as many sixes: two sixes and a five are 17, so the best is 450 of 5 + 5 + 6 and 225 of 6 + 6
+    assert sum(t for _, t in packing.configurations({6: 900, 5: 900}, 16)) == 675
     assert packing.configurations({}, 16) == []
 
 
@@ -432,7 +434,7 @@ def mutated(n: int) -> list[tuple]:
     for i in range(25):
         w[(i * 6) % 150] = f"chain{i}"
         out.append((500 + i, " ".join(w)))
-    out += [(i, f"{line} {words(8 + i % 30, 300 + i)}") for i in range(60)]
+    out += [(2000 + i, f"{line} {words(8 + i % 30, 300 + i)}") for i in range(60)]  # no id of another text: ids name components
     return out
 
 
@@ -447,9 +449,14 @@ def test_near_groups(spark, percent):
 
 
 def test_near_stage_keeps_one(spark):
-    kept = near_dedup.keep_one(spark, hard(spark))
-    ids = Counter(r.doc_id for r in kept.collect())
-    assert sum(ids[i] for i in (1, 2, 3, 13)) == 1 and ids[7] == 1 and ids[8] + ids[9] == 1 and ids[4] == ids[5] == 1
+    docs = hard_rows() + [(doc, text, "en", "s0", len(text)) for doc, text in mutated(40)]
+    kept = near_dedup.keep_one(spark, spark.createDataFrame(docs, SCHEMA)).collect()
+    group = {doc: low for doc, _, low in brute_near([(r[0], r[1]) for r in docs])}
+    assert group[1] == group[2] == group[13] == 1 and group[3] == 3  # 51 of 61 shingles: under 85 in 100
+    with_words = Counter(group[r.doc_id] for r in kept if r.doc_id is not None and WORD.search(r.text or ""))
+    assert with_words == dict.fromkeys({group[r[0]] for r in docs if r[0] is not None and WORD.search(r[1] or "")}, 1)
+    ids = Counter(r.doc_id for r in kept)
+    assert ids[4] == ids[5] == ids[6] == 1 and ids[None] == 2
 
 
 # 10
