@@ -78,7 +78,8 @@ def identities(
         )
     level = scratch.save(level.select("row_id", "n_blocks", "pos", "name"), "level0")
 
-    longest = spelled.agg(F.max("n_blocks")).first()[0] or 1
+    longest, most = spelled.agg(F.max("n_blocks"), F.count_if(F.col("n_blocks") > 1)).first()
+    longest = longest or 1
     done, width, step = [level.filter("n_blocks = 1")], 1, 0
     while width < longest:
         pairs = (
@@ -90,10 +91,10 @@ def identities(
             )
         )
         step += 1
-        pairs = scratch.save(pairs, f"pairs{step}")
-        known = named(scratch, pairs.select("a", "b").distinct(), f"named{step}")
+        pairs = scratch.save(pairs, f"pairs{step}", most)
+        known = named(scratch, pairs.select("a", "b").distinct(), f"named{step}", most=most)
         level = scratch.save(
-            pairs.join(known, ["a", "b"]).select("row_id", "n_blocks", "pos", "name"), f"level{step}"
+            pairs.join(known, ["a", "b"]).select("row_id", "n_blocks", "pos", "name"), f"level{step}", most
         )
         scratch.drop(f"pairs{step}", f"named{step}")
         done.append(level.filter(f"n_blocks > {width} and n_blocks <= {2 * width}"))
@@ -115,7 +116,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     best = ids.groupBy("n_blocks", "name").agg(
         F.max(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
-    best = scratch.save(best, "best")  # read back, the join deals both sides itself and can split a hot group
+    best = scratch.save(best, "best", ids.count())  # read back, the join deals both sides itself and can split a hot group
     return ids.join(best, ["n_blocks", "name"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),

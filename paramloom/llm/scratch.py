@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIR = "spark.checkpoint.dir"
+#: Rows of a few numbers each that may be broadcast (some 12 MB of data).
+SMALL = 500_000
+#: Files of a table that small.
+FEW = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,8 +45,11 @@ class Scratch:
         self._fs.mkdirs(self._path(self.root))
         self._fs.deleteOnExit(self._path(self.root))
 
-    def save(self, df: DataFrame, label: str) -> DataFrame:
+    def save(self, df: DataFrame, label: str, most: int | None = None) -> DataFrame:
+        """most: a proven bound of the row count, of ids and numbers. A table of at most SMALL rows goes to a few files, not one a partition."""
         path = f"{self.root}/{label}"
+        if most is not None and most <= SMALL:
+            df = df.coalesce(FEW)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -51,7 +58,7 @@ class Scratch:
             self._fs.delete(self._path(f"{self.root}/{label}"), True)
 
 
-def named(scratch: Scratch, keys: DataFrame, label: str, name: str = "name") -> DataFrame:
+def named(scratch: Scratch, keys: DataFrame, label: str, name: str = "name", most: int | None = None) -> DataFrame:
     """Distinct rows of ``keys`` with an integer name each, in sort order.
 
     The rows are range partitioned and sorted; the name is the partition and
@@ -59,11 +66,7 @@ def named(scratch: Scratch, keys: DataFrame, label: str, name: str = "name") ->
     """
     cols = keys.columns
     ordered = keys.repartitionByRange(*cols).sortWithinPartitions(*cols)
-    return scratch.save(ordered.withColumn(name, F.monotonically_increasing_id()), label)
-
-
-#: Rows of a few numbers each that may be broadcast (some 12 MB of data).
-SMALL = 500_000
+    return scratch.save(ordered.withColumn(name, F.monotonically_increasing_id()), label, most)
 
 
 def if_small(stored: DataFrame, rows: int = SMALL) -> DataFrame:
