@@ -82,6 +82,7 @@ def count_tokens(
         spark.read.schema(schema).parquet(cache_path).filter(F.col("version") == version)
         .groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     )
+    counts = scratch.save(counts, "counts")  # read back, the join deals both sides itself and can split a hot text
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.octet_length(text).cast("long").alias("n_bytes"),
