@@ -168,11 +168,12 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
         _sketcher(k), "row_id long, doc_id long, t1 long, t2 long, n long, d1 long, d2 long, sketch array<long>"
     )
     rows = s.save(rows, "rows")
+    most = rows.count()
 
     nodes = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(
         F.min(F.struct("row_id", "t1", "t2")).alias("m"), F.min("doc_id").alias("low")
     )
-    nodes = s.save(nodes.select(F.col("m.row_id").alias("node"), "m.t1", "m.t2", "n", "d1", "d2", "low"), "nodes")
+    nodes = s.save(nodes.select(F.col("m.row_id").alias("node"), "m.t1", "m.t2", "n", "d1", "d2", "low"), "nodes", most)
 
     # 2. sketches: who can have a partner at all
     sketches = s.save(rows.select(F.col("row_id").alias("node"), "n", "sketch").join(nodes.select("node"), "node", "left_semi"), "sketches")
@@ -181,8 +182,8 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     kept_k = f"least(n, {k})"
     slack = f"if(n <= {t} * {k}, n - {sure}, {kept_k} - greatest(1, floor({t} * {kept_k} - {SIGMAS} * sqrt({t * (1 - t)} * {kept_k}))))"
     maybe = sketches.join(own, "node", "left").filter(f"coalesce(singles, 0) <= {slack}").select("node", "sketch")
-    maybe = s.save(maybe, "maybe")
-    wanted = s.save(nodes.join(maybe.select("node"), "node", "left_semi").select("node", "t1", "t2", "n"), "wanted")
+    maybe = s.save(maybe, "maybe", most)
+    wanted = s.save(nodes.join(maybe.select("node"), "node", "left_semi").select("node", "t1", "t2", "n"), "wanted", most)
     texts = docs.select(*keyed).join(if_small(wanted), ["t1", "t2"]).groupBy("node", "n").agg(F.first("text").alias("text"))
     texts = s.save(texts, "texts")
 
@@ -192,7 +193,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     counts = s.save(counts, "counts")
     singles = counts.filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
     left = texts.select("node", "n").join(singles, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    left = s.save(left.filter(f"u <= n - {sure}"), "left")
+    left = s.save(left.filter(f"u <= n - {sure}"), "left", most)
     again = texts.select("node", "text").join(left.select("node"), "node", "left_semi").mapInArrow(_entries, "node long, value long")
     shared = s.save(again.join(counts.filter("c > 1").select("value", "c"), "value"), "shared")
     order = Window.partitionBy("node").orderBy("c", "value")
@@ -247,14 +248,14 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     label = components(s, links.unionByName(more), "cc")
 
     named = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = s.save(named.select("n", "d1", "d2", "component", "low"), "named")
-    low = s.save(named.groupBy("component").agg(F.min("low").alias("component_id")), "low")
+    named = s.save(named.select("n", "d1", "d2", "component", "low"), "named", most)
+    low = s.save(named.groupBy("component").agg(F.min("low").alias("component_id")), "low", most)
     members = rows.select("row_id", "doc_id", "n", "d1", "d2").join(named.select("n", "d1", "d2", "component"), ["n", "d1", "d2"], "left")
-    members = s.save(members.join(low, "component", "left"), "members")
+    members = s.save(members.join(low, "component", "left"), "members", most)
     heads = members.filter("n > 0").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("h")
     )
-    heads = s.save(heads.select("component", F.col("h.row_id").alias("head")), "heads")
+    heads = s.save(heads.select("component", F.col("h.row_id").alias("head")), "heads", most)
     return members.join(heads, "component", "left").select(
         "row_id",
         "doc_id",
