@@ -16,7 +16,7 @@ more), else prose. Tokens are words.
 
 Scale. The texts are read once for the cells and once for the result; only
 partial sums are shuffled. The cells are a table of their own and raking joins
-it with its marginals, written after every round, so any number of sources
+it with its marginals, written after every step, so any number of sources
 works and a source with a third of the rows is one cell per task. The result
 joins documents to cells, broadcast only if Spark finds them small.
 
@@ -63,22 +63,27 @@ def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, topic: str | Non
     dims = ("source", "lang", "topic")
     cells = _described(docs, topic).groupBy(*[F.col(f"_{d}").alias(d) for d in dims]).agg(F.sum("_tokens").cast("double").alias("tokens"))
     cells = scratch.save(cells, "cells")
+    most = cells.count()
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     goals = {}
     for d in dims:
         shares = cells.groupBy(d).agg(F.sum("tokens").alias("has")).withColumn("raw", F.expr(f"power(has / {total!r}D, {POWERS[d]}D)") if total else F.lit(0.0))
-        shares = scratch.save(shares.select(d, "raw"), f"shares-{d}")
+        shares = scratch.save(shares.select(d, "raw"), f"shares-{d}", most)
         norm = shares.agg(F.sum("raw")).first()[0] or 1.0
-        goals[d] = scratch.save(shares.select(d, (F.col("raw") / F.lit(norm) * F.lit(budget * total)).alias("goal")), f"goals-{d}")
+        goals[d] = scratch.save(shares.select(d, (F.col("raw") / F.lit(norm) * F.lit(budget * total)).alias("goal")), f"goals-{d}", most)
     now = cells.withColumn("p", F.lit(float(budget)))
+    for d in dims:
+        now = now.join(goals[d].withColumnRenamed("goal", f"goal_{d}"), d)
+    now, columns = scratch.save(now, "start", most), now.columns
+    last = "start"
     for i in range(rounds):
         for d in dims:
             have = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("p")).alias("have"))
-            factors = have.join(goals[d], d).select(d, F.expr("if(have > 0, goal / have, 1D)").alias("f"))
-            now = now.join(factors, d).withColumn("p", F.least(F.lit(1.0), F.col("p") * F.col("f"))).select(*dims, "tokens", "p")
-        now = scratch.save(now, f"round{i}")
-        if i:
-            scratch.drop(f"round{i - 1}")
+            scaled = F.least(F.lit(1.0), F.col("p") * F.expr(f"if(have > 0, goal_{d} / have, 1D)"))
+            label = f"round{i}-{d}"
+            now = scratch.save(now.join(have, d).withColumn("p", scaled).select(*columns), label, most)
+            scratch.drop(last)
+            last = label
     return now.withColumn("p", F.when(F.col("tokens") > 0, F.round("p", 9)).otherwise(F.lit(1.0)))
 
 
