@@ -44,9 +44,9 @@ def _described(docs: DataFrame, topic: str | None = None) -> DataFrame:
     given = F.expr(topic).cast("string") if topic else F.lit(None).cast("string")
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text", "source", "lang", given.alias("_given"))
     t = "coalesce(cast(text as string), '')"
-    words = rf"split(trim(BOTH ' \t\n\u000B\f\r' FROM {t}), '[\\x20\\x09-\\x0D]+')"
+    words = rf"split(trim(BOTH ' \t\n\u000B\u000C\r' FROM {t}), '[\\x20\\x09-\\x0D]+')"
     df = docs.withColumn("_w", F.expr(f"size({words})")).withColumn(
-        "_tokens", F.expr(rf"cast(if(_w = 1 and trim(BOTH ' \t\n\u000B\f\r' FROM {t}) = '', 0, _w) as bigint)")
+        "_tokens", F.expr(rf"cast(if(_w = 1 and trim(BOTH ' \t\n\u000B\u000C\r' FROM {t}) = '', 0, _w) as bigint)")
     )
     register = f"case when 10 * regexp_count({t}, '[|]') > _tokens then 'table' when _tokens < 60 then 'short' when _tokens >= 2000 then 'long' else 'prose' end"
     return df.withColumns(

@@ -53,7 +53,7 @@ def with_measures(docs: DataFrame, prefix: str = "q_") -> DataFrame:
     df = df.select(
         *names,
         t,
-        F.expr(rf"split(trim(BOTH ' \t\n\u000B\f\r' FROM {t}), '{_WS}+')").alias("_q_w"),
+        F.expr(rf"split(trim(BOTH ' \t\n\u000B\u000C\r' FROM {t}), '{_WS}+')").alias("_q_w"),
         F.expr(rf"filter(split({t}, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')").alias("_q_l"),
         F.expr(f"cast(regexp_count({t}, '[#*$%&|<>]') as bigint)").alias(f"{prefix}n_symbols"),
         F.expr(f"cast(regexp_count({t}, '[#*$%&|<>]+') as bigint)").alias(f"{prefix}n_symbol_runs"),

@@ -380,6 +380,16 @@ def test_measures(spark):
         assert not (r.base_failed and r.kept)
 
 
+FEEDS = ["f", "ff", "find a leaf", "f a f", "\f", "\fa b", "a b\f", "\f f \f", " \x0b\fa\f\x0b", "of of of of of of", "auf " * 9 + "auf"]
+
+
+def test_form_feeds_are_space_and_the_letter_f_is_not(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s0") for i, t in enumerate(FEEDS)], "doc_id long, text string, lang string, source string")
+    for r in quality.judge(spark, docs).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_measures(FEEDS[r.doc_id])
+    assert {r.doc_id: r.n_tokens for r in mixing.weigh(spark, docs).collect()} == {i: len(WORD.findall(t)) for i, t in enumerate(FEEDS)}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no driver tables")
 def test_labels_agree_with_the_posterior(spark):
     """Accuracy on labels that the estimates never saw."""
