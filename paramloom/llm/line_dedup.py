@@ -4,8 +4,9 @@ A text's units are its lines, and within a line its sentences (up to a mark
 ``.!?`` before white space), each normalised: lower case, white space
 collapsed. Digests of 128 bits are grouped over the corpus; of equal units
 the one ranked first by (doc_id, start) stays. Neighbouring repeated units
-form a run, and runs of ``MIN_WORDS`` words or more are removed: shorter ones
-are stock phrases that any text may share. Offsets are code points of the
+form a run. ``remove_repeats`` removes every run; ``repeated_runs``, and the
+query with its SQL, report those of ``MIN_WORDS`` words or more unless told
+otherwise. Repeats inside a unit are not seen. Offsets are code points of the
 original text.
 
 Scale. One pass turns texts into units; shuffles carry digests and offsets,
@@ -96,7 +97,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     )
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, min_words: int = 1) -> DataFrame:
     """docs with the runs cut out of text, and removed_spans: their original (start, end), null if there are none."""
     rows = numbered_rows(Scratch(spark, "line-rows"), docs)
     runs = repeated_runs(spark, rows.select("row_id", "doc.doc_id", "doc.text"), min_words, "row_id")

@@ -506,6 +506,15 @@ def test_removed_spans_rebuild_the_text(spark):
     assert text[start:end] == passage and got[2].text == text[:start] + text[end:]
 
 
+def test_short_repeats_are_removed(spark):
+    line = words(7, 61)
+    docs = [(1, f"{line}\n{words(9, 62)}"), (2, f"{words(9, 63)}\n{line}\n{words(9, 64)}"), (3, f"{words(9, 65)}. {line}")]
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].text == docs[0][1]
+    for doc, text in docs[1:]:
+        assert got[doc].text == text.replace(line, "") and len(got[doc].removed_spans) == 1
+
+
 # the pipeline
 
 def test_stages(spark):
