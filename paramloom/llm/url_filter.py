@@ -5,11 +5,14 @@ that fits decides a page. Pages without one follow their aliases: URLs that
 differ only in scheme, a leading www., fragment, tracking parameters or a
 closing slash are one address, and addresses that redirect or name each other
 as canonical (``rel=canonical``, ``http-equiv=refresh``, or a given table of
-redirects) are connected components. If a rule explicitly allows a page of
+redirects) are connected components. Links are read from every link and meta
+tag outside comments and raw text, with attributes in any order and quoting;
+relative targets are resolved against the page's URL or its base tag. If a rule explicitly allows a page of
 the component its undecided pages are allowed; else if a rule blocks one they
 are blocked; else they are allowed.
 
-Scale. Rules are a fixed short list, evaluated in one expression. Addresses
+Scale. Rules are a fixed short list, evaluated in one expression. Only html
+with such a tag goes to Python, which reads it in one pass. Addresses
 become integers by a distributed sort; components run on edges between
 different addresses only; the decisions of an address are gathered with
 map-side aggregation, so one that many pages share meets in no single task.
@@ -21,16 +24,72 @@ table: empty result. Other columns are not read (html may be missing).
 
 from __future__ import annotations
 
+import html as entities
+import re
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paramloom.llm.graph import components
-from paramloom.llm.scratch import Scratch, named
+from paramloom.llm.scratch import Scratch, bounded_batches, named
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: CANONICAL and REFRESH are what the SQL reads; targets() reads all that they do and more.
 CANONICAL = r"""(?is)<link\s[^>]*rel\s*=\s*["']?canonical["']?[^>]*href\s*=\s*["']([^"'>]+)"""
 REFRESH = r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["']?[^>]*url\s*=\s*([^"'>\s]+)"""
+_TAG = re.compile(r"<!--|<(link|meta|base|script|style|textarea|title)(?=[\s/>])", re.I)
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s>/][^\s=>/]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?)?+""")
+_TURN = re.compile(r"""(?is)\s*+[\d.]*+[\s;,]*+(?:url\s*+=\s*+)?+(?:"([^"]*)|'([^']*)|(\S.*))""")
+_ABSOLUTE = re.compile(r"[a-z][a-z0-9+.-]*://", re.I)
+_ENDS = {k: re.compile(f"</{k}(?=[\\s/>])", re.I) for k in ("script", "style", "textarea", "title")}
+
+
+def _joined(base: str, target: str) -> str:
+    if _ABSOLUTE.match(target):
+        return target
+    try:
+        return urljoin(base, target)
+    except ValueError:
+        return target
+
+
+def targets(url: str, text: str) -> list[str]:
+    """The URLs that a page names as canonical or turns to."""
+    found, base, at = [], None, 0
+    while tag := _TAG.search(text, at):
+        name, at = (tag[1] or "").lower(), tag.end()
+        if not name:
+            at = text.find("-->", tag.start() + 2)
+            if at < 0:
+                break
+            continue
+        has: dict[str, str] = {}
+        while m := _ATTRIBUTE.match(text, at):
+            has.setdefault(m[1].lower(), entities.unescape(next((v for v in m.groups()[1:] if v is not None), "")).strip())
+            at = m.end()
+        if name in _ENDS:
+            end = _ENDS[name].search(text, at)
+            if not end:
+                break
+            at = end.end()
+        elif name == "base":
+            base = has.get("href") if base is None else base
+        elif name == "link" and "canonical" in has.get("rel", "").lower().split():
+            found.append(has.get("href", ""))
+        elif name == "meta" and has.get("http-equiv", "").lower() == "refresh" and (m := _TURN.match(has.get("content", ""))):
+            found.append((m[1] or m[2] or m[3] or "").strip())
+    base = _joined(url, base) if base else url
+    return [_joined(base, x) for x in dict.fromkeys(found) if x]
+
+
+def _read(batches):
+    for batch in batches:
+        urls, texts = batch.column("url").to_pylist(), batch.column("html")
+        found = [targets(u or "", t.as_py()) if t.is_valid else [] for u, t in zip(urls, texts)]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.list_(pa.string()))], names=["page_id", "url", "targets"])
 
 
 def _sql(url: str) -> dict[str, str]:
@@ -68,17 +127,15 @@ def _parts(df: DataFrame, url: str, into: str) -> DataFrame:
 def filter_urls(spark: SparkSession, pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict per page. redirects: optional rows (source, target) of URLs."""
     s = Scratch(spark, "urls")
+    bounded_batches(spark)
     html = "cast(html as string)" if "html" in pages.columns else "cast(null as string)"
     df = pages.selectExpr("cast(page_id as long) as page_id", "cast(url as string) as url", f"{html} as html")
-    link = (
-        F.when(F.instr("html", "canonical") > 0, F.nullif(F.regexp_extract("html", CANONICAL, 1), F.lit("")))
-    )
-    turn = F.when(F.instr("html", "efresh") > 0, F.nullif(F.regexp_extract("html", REFRESH, 1), F.lit("")))
-    df = _parts(df.withColumns({"link": link, "turn": turn}).drop("html"), "url", "")
+    df = df.withColumn("html", F.when(F.col("html").rlike(r"(?i)<(link|meta)[\s/]"), F.col("html")))
+    df = _parts(df.mapInArrow(_read, "page_id long, url string, targets array<string>"), "url", "")
     df = df.withColumn("rule", F.expr(_rule_case(1))).withColumn("own", F.expr(_rule_case(0)))
     df = s.save(df.drop("query"), "pages")
 
-    edges = df.select("url", F.explode(F.array("link", "turn")).alias("target")).filter("target is not null")
+    edges = df.select("url", F.explode("targets").alias("target"))
     if redirects is not None:
         edges = edges.unionByName(redirects.selectExpr("cast(source as string) as url", "cast(target as string) as target"))
     edges = _parts(_parts(edges, "url", "a_"), "target", "b_").select(F.col("a_address").alias("x"), F.col("b_address").alias("y"))

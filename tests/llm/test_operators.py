@@ -177,6 +177,34 @@ def test_url_decisions_reach_aliases(spark):
     assert collected(url_filter.filter_urls(spark, extra), "page_id", "verdict") == collected(url_filter.filter_urls(spark, pages), "page_id", "verdict")
 
 
+LINKS = [
+    ('<link href="http://a.com/en/1" rel="canonical">', ["http://a.com/en/1"]), ("<LINK REL=Canonical HREF=http://a.com/en/1>", ["http://a.com/en/1"]),
+    ("<meta content=\"0; URL='http://a.com/en/1'\" http-equiv='Refresh'/>", ["http://a.com/en/1"]), ('<meta http-equiv="refresh" content="5">', []),
+    ("<link rel='next canonical'\nhref='/en/1?a=1&amp;b=2'>", ["http://a.com/en/1?a=1&b=2"]), ("<link rel=canonical href=//b.org/es/1>", ["http://b.org/es/1"]),
+    ("<link rel=canonical href=1><link href=2 rel=canonical><meta http-equiv=refresh content='0;url=../3'>", ["http://a.com/x/1", "http://a.com/x/2", "http://a.com/3"]),
+    ("<!-- <link rel=canonical href=1> --><script>'<link rel=canonical href=2>'</script><link rel=canonical href=3>", ["http://a.com/x/3"]),
+    ('<base href="http://b.org/es/"><link rel="canonical" title="a > b" href="4">', ["http://b.org/es/4"]),
+    ('<link rel="alternate" href="canonical"><links rel=canonical href=1><link rel="canonical">', []),
+]
+
+
+@pytest.mark.parametrize("html, want", LINKS)
+def test_targets_of_a_page(html, want):
+    assert url_filter.targets("http://a.com/x/y", html) == want
+
+
+def test_targets_are_read_in_linear_time():
+    for text in ("<link " * 100_000, "<!--" * 100_000, "<script>" * 100_000, "<link a=\"" * 50_000, "<link a='\" " * 50_000, "<meta" + " " * 300_000, "<link " + "a=" * 150_000):
+        url_filter.targets("http://a.com/", text)
+
+
+def test_url_decisions_reach_aliases_of_any_form(spark):
+    rows = [(1, "http://a.com/en/1", ""), (2, "http://c.dev/2", '<link href="http://a.com/en/1" rel="canonical">'), (3, "http://c.dev/3", "<meta http-equiv=refresh content=\"0; url='http://a.com/en/1'\">"),
+            (4, "http://c.dev/4", "<LINK REL=CANONICAL HREF=http://a.com/en/1>"), (5, "http://c.dev/5", "<link rel=canonical href=/2>"), (6, "http://c.dev/6", None)]
+    got = url_filter.filter_urls(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+
+
 # 4, 7: tokens
 
 def library(kind):
