@@ -9,20 +9,22 @@ more; a group is a connected component of links.
    Documents with equal sets become one node.
 2. Inverted lists of retained values: a value that one document retains tells
    that the document has a shingle of its own. If too many of a sketch's
-   values are such (five standard deviations over what a partner allows; with
-   the whole set in the sketch the bound is exact), it has no partner.
+   values are such (more than ``least_shared`` allows; with the whole set in the
+   sketch the bound is exact), it has no partner.
 3. Of the documents left, the same count over whole sets bounds the overlap
    exactly, and each indexes its rarest shingles: the prefix that any partner
    must meet, with positions, so that lists bound the overlap of a pair.
 4. Each list links its members to its most central one (a star, not all
    pairs). Then only pairs of a list in different components are formed that
    can still reach the threshold by size and position.
-5. Candidate pairs are estimated from their union sketch, five standard
-   deviations below the threshold being let through, and verified by exact
+5. Candidate pairs are estimated from their union sketch, those with
+   ``least_shared`` values in common being let through, and verified by exact
    Jaccard on the words of both whole texts.
 
-A pair below the threshold never links. One above it is missed only if a
-sketch errs by five standard deviations.
+A pair below the threshold never links. One at the threshold is lost in step 2
+or 5 only if fewer than ``least_shared`` of its union sketch are common, which
+by the exact binomial tail has a chance of at most ``LOSS``: 3 in ten million
+pairs. More similar pairs are lost more rarely.
 
 Scale. Shuffles carry hashes and ids. The texts of step 3 are picked by a
 broadcast of their keys if these are at most scratch.SMALL, else by one
@@ -38,6 +40,8 @@ contract, ``keep_one`` keeps exactly one. Empty tables give empty results.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +54,8 @@ from paramloom.llm.scratch import Scratch, bounded_batches, if_small, numbered_r
 WIDTH = 5
 PERCENT = 85
 K = 32
-SIGMAS = 5.0
+#: The chance that sketches lose a pair at the threshold.
+LOSS = 3e-7
 
 
 def _tables():
@@ -146,6 +151,14 @@ def _verifier(percent: int):
     return verify
 
 
+def least_shared(size: int, t: float) -> int:
+    """The most values, one at least, of which a sketch of a pair at similarity t shares fewer with a chance of at most LOSS."""
+    below, m = 0.0, 0
+    while m < size and (below := below + comb(size, m) * t**m * (1 - t) ** (size - m)) <= LOSS:
+        m += 1
+    return max(1, m)
+
+
 def _single_owners(entries: DataFrame) -> DataFrame:
     """How many of a node's values no other node has (node, singles)."""
     lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
@@ -180,7 +193,8 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     own = _single_owners(sketches.select("node", F.explode("sketch").alias("value")))
     sure = f"ceil({percent} * n / 100.0)"
     kept_k = f"least(n, {k})"
-    slack = f"if(n <= {t} * {k}, n - {sure}, {kept_k} - greatest(1, floor({t} * {kept_k} - {SIGMAS} * sqrt({t * (1 - t)} * {kept_k}))))"
+    least = f"element_at(array({', '.join(str(least_shared(i, t)) for i in range(1, k + 1))}), cast(%s as int))"
+    slack = f"if(n <= {t} * {k}, n - {sure}, {kept_k} - {least % kept_k})"
     maybe = sketches.join(own, "node", "left").filter(f"coalesce(singles, 0) <= {slack}").select("node", "sketch")
     maybe = s.save(maybe, "maybe", most)
     wanted = s.save(nodes.join(maybe.select("node"), "node", "left_semi").select("node", "t1", "t2", "n"), "wanted", most)
@@ -221,8 +235,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
             held.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b"
         )
         union = est.withColumn("low", F.expr(f"slice(sort_array(array_union(sa, sb)), 1, {k})"))
-        share = "size(array_intersect(array_intersect(low, sa), sb)) / size(low)"
-        pairs = union.filter(f"{share} >= {t} - {SIGMAS} * sqrt({t * (1 - t)} / size(low))").select("a", "b")
+        pairs = union.filter(f"size(array_intersect(array_intersect(low, sa), sb)) >= {least % 'size(low)'}").select("a", "b")
         pairs = s.save(pairs, f"{label}-likely")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
             texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"

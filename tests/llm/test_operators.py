@@ -486,6 +486,17 @@ def test_near_groups(spark, percent):
     assert all(n == 1 for (c, none), n in firsts.items() if not none and c is not None)
 
 
+@pytest.mark.parametrize("t", [0.8, 0.85])
+def test_sketch_cuts_keep_to_the_stated_loss(t):
+    from math import comb
+
+    for size in range(1, 65):
+        tail = lambda m: sum(comb(size, i) * t**i * (1 - t) ** (size - i) for i in range(m))  # noqa: B023, E731
+        m = near_dedup.least_shared(size, t)
+        assert m == 1 or tail(m) <= near_dedup.LOSS
+        assert tail(m + 1) > near_dedup.LOSS
+
+
 def test_near_stage_keeps_one(spark):
     docs = hard_rows() + [(doc, text, "en", "s0", len(text)) for doc, text in mutated(40)]
     kept = near_dedup.keep_one(spark, spark.createDataFrame(docs, SCHEMA)).collect()
