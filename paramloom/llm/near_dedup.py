@@ -5,32 +5,34 @@ than ASCII white space, A-Z lower-cased; the whole sequence if it is
 shorter). Documents link at a Jaccard similarity of ``PERCENT`` / 100 or
 more; a group is a connected component of links.
 
-1. One hash function; each document keeps the K smallest hashes (sketch).
+1. One hash function; each document retains the smallest of its hashes, as
+   many as ``retained`` says: a bottom-k sketch whose k grows with the set.
    Documents with equal sets become one node.
-2. Inverted lists of retained values: a value that one document retains tells
-   that the document has a shingle of its own. If too many of a sketch's
-   values are such (more than ``least_shared`` allows; with the whole set in the
-   sketch the bound is exact), it has no partner.
-3. Of the documents left, the same count over whole sets bounds the overlap
-   exactly, and each indexes its rarest shingles: the prefix that any partner
-   must meet, with positions, so that lists bound the overlap of a pair.
+2. Inverted lists of retained values: the smallest common values of a linked
+   pair are retained by both, ``sure_common`` of them at least. A document
+   with fewer values that others retain too has no partner.
+3. Of the documents left, the same count over whole sets, and each indexes its
+   rarest shingles: the prefix that any partner must meet, with positions, so
+   that lists bound the overlap of a pair.
 4. Each list links its members to its most central one (a star, not all
-   pairs). Then only pairs of a list in different components are formed that
-   can still reach the threshold by size and position.
-5. Candidate pairs are estimated from their union sketch, those with
-   ``least_shared`` values in common being let through, and verified by exact
-   Jaccard on the words of both whole texts.
+   pairs). Then pairs of a list in different components are formed that can
+   still reach the threshold by size and position; lists are split by size,
+   as only neighbouring sizes can link.
+5. Up to the smaller of two sketches' ends the union sketch of a pair is known
+   whole. What it shares, and what lies beyond, bound the overlap; pairs that
+   can still link are verified by exact Jaccard on the words of both texts.
 
-A pair below the threshold never links. One at the threshold is lost in step 2
-or 5 only if fewer than ``least_shared`` of its union sketch are common, which
-by the exact binomial tail has a chance of at most ``LOSS``: 3 in ten million
-pairs. More similar pairs are lost more rarely.
+No step loses a link: every bound is exact and every pair is verified on full
+sets. ``loss`` above zero adds the estimate of the union sketch's smallest
+``K`` values, which drops a pair at the threshold with at most that chance.
 
 Scale. Shuffles carry hashes and ids. The texts of step 3 are picked by a
 broadcast of their keys if these are at most scratch.SMALL, else by one
 shuffle of the texts; those of candidates are shuffled for verification. Lists are counted
 with map-side aggregation and stars are joins of stored tables, which Spark
-splits where a list is long. Components run on distributed edges.
+splits where a list is long. A shingle in very many documents is the last to
+be indexed, so it makes a list only for documents that have hardly any rarer
+ones. Components run on distributed edges.
 
 Edge cases. Null or empty text: empty set, own component, kept. A null doc_id
 never names a component unless all of it are null. Repeated rows are members
@@ -40,7 +42,7 @@ contract, ``keep_one`` keeps exactly one. Empty tables give empty results.
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +55,8 @@ from paramloom.llm.scratch import Scratch, bounded_batches, if_small, numbered_r
 
 WIDTH = 5
 PERCENT = 85
-K = 32
-#: The chance that sketches lose a pair at the threshold.
+K = 16
+#: A chance of losing a pair at the threshold, for those who want fewer verifications.
 LOSS = 3e-7
 
 
@@ -109,20 +111,43 @@ def shingle_set(text: str, width: int = WIDTH) -> set:
     return set(zip(*(words[i:] for i in range(width))))
 
 
-def _sketcher(k: int):
+def spare(n: int, percent: int) -> int:
+    """How many of n shingles a partner may lack."""
+    return (100 - percent) * n // 100
+
+
+def retained(n: int, percent: int, k: int = K) -> int:
+    """The size of the sketch of n shingles."""
+    return min(n, k + spare(n, percent) + spare(n, percent) // 2)
+
+
+def sure_common(n: int, percent: int, k: int = K) -> int:
+    """How many retained values a document of n shingles has in common with those of any partner, at least.
+
+    A common value of rank j among the common ones has at most rank
+    j + spare(n) in a set, so both retain the first retained(n) - spare(n)
+    of the smaller set; that grows with n, and n - spare(n) is the smallest
+    partner.
+    """
+    m = n - spare(n, percent)
+    return retained(m, percent, k) - spare(m, percent)
+
+
+def _sketcher(k: int, percent: int):
     def sketch(batches):
         salt = _tables()[3]
         for batch in batches:
-            n, d1, d2, low = [], [], [], []
+            n, least, d1, d2, low = [], [], [], [], []
             for value in batch.column("text"):
                 hashes = shingle_hashes(value.as_py() or "")
                 n.append(len(hashes))
                 d1.append(int(_mix(hashes.view(np.uint64) ^ salt[10]).sum().astype(np.int64)))
                 d2.append(int(_mix(hashes.view(np.uint64) ^ salt[11]).sum().astype(np.int64)))
-                low.append(hashes[:k])
+                least.append(sure_common(len(hashes), percent, k))
+                low.append(hashes[: retained(len(hashes), percent, k)])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("row_id", "doc_id", "t1", "t2")), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(low, pa.list_(pa.int64()))],
-                names=["row_id", "doc_id", "t1", "t2", "n", "d1", "d2", "sketch"],
+                [*(batch.column(c) for c in ("row_id", "doc_id", "t1", "t2")), pa.array(n, pa.int64()), pa.array(least, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(low, pa.list_(pa.int64()))],
+                names=["row_id", "doc_id", "t1", "t2", "n", "least", "d1", "d2", "sketch"],
             )
 
     return sketch
@@ -151,10 +176,10 @@ def _verifier(percent: int):
     return verify
 
 
-def least_shared(size: int, t: float) -> int:
-    """The most values, one at least, of which a sketch of a pair at similarity t shares fewer with a chance of at most LOSS."""
+def least_shared(size: int, t: float, loss: float = LOSS) -> int:
+    """The most values, one at least, of which a sketch of a pair at similarity t shares fewer with a chance of at most loss."""
     below, m = 0.0, 0
-    while m < size and (below := below + comb(size, m) * t**m * (1 - t) ** (size - m)) <= LOSS:
+    while m < size and (below := below + comb(size, m) * t**m * (1 - t) ** (size - m)) <= loss:
         m += 1
     return max(1, m)
 
@@ -165,7 +190,7 @@ def _single_owners(entries: DataFrame) -> DataFrame:
     return lists.filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("singles"))
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k: int = K, row_id: str | None = None) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k: int = K, row_id: str | None = None, loss: float = 0.0) -> DataFrame:
     """row_id, doc_id, n_shingles, component_id, kept, first per row.
 
     first is true for exactly one row of each component, whatever its ids.
@@ -173,34 +198,35 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     """
     s = Scratch(spark, "near")
     bounded_batches(spark)
-    t = percent / 100
     text = text_or_empty()
     number = F.col(row_id) if row_id else F.monotonically_increasing_id()
     keyed = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text")]
     rows = docs.select(number.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), *keyed).mapInArrow(
-        _sketcher(k), "row_id long, doc_id long, t1 long, t2 long, n long, d1 long, d2 long, sketch array<long>"
+        _sketcher(k, percent), "row_id long, doc_id long, t1 long, t2 long, n long, least long, d1 long, d2 long, sketch array<long>"
     )
-    rows = s.save(rows, "rows")
+    sketched = s.save(rows, "sketched")
+    rows = s.save(sketched.select("row_id", "doc_id", "n", "d1", "d2"), "rows")
     most = rows.count()
 
-    nodes = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(
+    nodes = sketched.filter("n > 0").groupBy("n", "d1", "d2").agg(
         F.min(F.struct("row_id", "t1", "t2")).alias("m"), F.min("doc_id").alias("low")
     )
     nodes = s.save(nodes.select(F.col("m.row_id").alias("node"), "m.t1", "m.t2", "n", "d1", "d2", "low"), "nodes", most)
 
     # 2. sketches: who can have a partner at all
-    sketches = s.save(rows.select(F.col("row_id").alias("node"), "n", "sketch").join(nodes.select("node"), "node", "left_semi"), "sketches")
+    sketches = sketched.select(F.col("row_id").alias("node"), "n", "least", "sketch").join(if_small(nodes.select("node")), "node", "left_semi")
+    sketches = s.save(sketches, "sketches")
+    s.drop("sketched")
     own = _single_owners(sketches.select("node", F.explode("sketch").alias("value")))
-    sure = f"ceil({percent} * n / 100.0)"
-    kept_k = f"least(n, {k})"
-    least = f"element_at(array({', '.join(str(least_shared(i, t)) for i in range(1, k + 1))}), cast(%s as int))"
-    slack = f"if(n <= {t} * {k}, n - {sure}, {kept_k} - {least % kept_k})"
-    maybe = sketches.join(own, "node", "left").filter(f"coalesce(singles, 0) <= {slack}").select("node", "sketch")
+    maybe = sketches.join(own, "node", "left").filter("size(sketch) - coalesce(singles, 0) >= least").select("node", "n", "sketch")
     maybe = s.save(maybe, "maybe", most)
+    s.drop("sketches")
     wanted = s.save(nodes.join(maybe.select("node"), "node", "left_semi").select("node", "t1", "t2", "n"), "wanted", most)
     texts = docs.select(*keyed).join(if_small(wanted), ["t1", "t2"]).groupBy("node", "n").agg(F.first("text").alias("text"))
     texts = s.save(texts, "texts")
 
+    sure = f"ceil({percent} * n / 100.0)"
+
     # 3. whole sets of these: exact bound, then the prefix index of the rarest shingles
     entries = texts.select("node", "text").mapInArrow(_entries, "node long, value long")
     counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
@@ -230,12 +256,17 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         pairs = s.save(pairs, f"{label}-pairs")
-        held = maybe.select("node", "sketch")
-        est = pairs.join(held.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(
-            held.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b"
-        )
-        union = est.withColumn("low", F.expr(f"slice(sort_array(array_union(sa, sb)), 1, {k})"))
-        pairs = union.filter(f"size(array_intersect(array_intersect(low, sa), sb)) >= {least % 'size(low)'}").select("a", "b")
+        for x in "ab":
+            end = F.expr("if(size(sketch) < n, element_at(sketch, -1), 9223372036854775807L)")
+            pairs = pairs.join(maybe.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), end.alias(f"e{x}")), x)
+        known = pairs.withColumn("e", F.least("ea", "eb")).withColumn("shared", F.expr("size(array_intersect(sa, sb))"))
+        beyond = "least(na - size(filter(sa, v -> v <= e)), nb - size(filter(sb, v -> v <= e)))"
+        pairs = known.filter(f"{100 + percent} * (shared + {beyond}) >= {percent} * (na + nb)")
+        if loss:
+            low = pairs.withColumn("low", F.expr(f"slice(sort_array(array_union(slice(sa, 1, {k}), slice(sb, 1, {k}))), 1, {k})"))
+            least = ", ".join(str(least_shared(i, percent / 100, loss)) for i in range(1, k + 1))
+            pairs = low.filter(f"size(array_intersect(array_intersect(low, sa), sb)) >= element_at(array({least}), size(low))")
+        pairs = pairs.select("a", "b")
         pairs = s.save(pairs, f"{label}-likely")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
             texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
@@ -251,20 +282,27 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     mixed = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     mixed = s.save(mixed.select("value"), "mixed")
     open_ = s.save(labelled.join(mixed, "value", "left_semi"), "open")
-    x = open_.select("value", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component")])
-    y = open_.select("value", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "component")])
-    cross = x.join(y, (x["value"] == y["value"]) & F.expr(f"x_component < y_component and {reaches('x_', 'y_')}"))
+    s.drop("labelled", "mixed")
+    # a size bucket is a little wider than the range of sizes that link: the larger of a pair is in the smaller's or the next
+    open_ = open_.withColumn("sized", F.expr(f"cast(floor(ln(n) / {log(100 / percent) * 1.0001 if percent < 100 else 1.0!r}D) as int)"))
+    kept = ("node", "n", "pos", "component")
+    x = open_.select("value", F.explode(F.array("sized", F.col("sized") + 1)).alias("sized"), *[F.col(c).alias(f"x_{c}") for c in kept])
+    y = open_.select("value", "sized", *[F.col(c).alias(f"y_{c}") for c in kept])
+    once = "x_component <> y_component and (x_n < y_n or x_n = y_n and x_node < y_node)"
+    cross = x.join(y, ["value", "sized"]).filter(f"{once} and {reaches('x_', 'y_')}")
     cross = cross.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     cross = cross.join(s.spark.read.schema("a long, b long").parquet(f"{s.root}/star-pairs"), ["a", "b"], "left_anti")
     second = verified(cross, "cross")
     more = second.filter("linked").select("a", "b")
     label = components(s, links.unionByName(more), "cc")
+    s.drop("texts", "maybe", "wanted", "left", "index", "centres", "open", "star-pairs", "star-likely", "cross-pairs", "cross-likely")
 
     named = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = s.save(named.select("n", "d1", "d2", "component", "low"), "named", most)
     low = s.save(named.groupBy("component").agg(F.min("low").alias("component_id")), "low", most)
     members = rows.select("row_id", "doc_id", "n", "d1", "d2").join(named.select("n", "d1", "d2", "component"), ["n", "d1", "d2"], "left")
     members = s.save(members.join(low, "component", "left"), "members", most)
+    s.drop("rows", "nodes", "named", "low")
     heads = members.filter("n > 0").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("h")
     )

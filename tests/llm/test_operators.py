@@ -497,6 +497,66 @@ def test_sketch_cuts_keep_to_the_stated_loss(t):
         assert tail(m + 1) > near_dedup.LOSS
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_linked_sketches_share_what_is_sure(percent):
+    import random
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        n = rng.choice([rng.randint(1, 40), rng.randint(41, 130), rng.randint(131, 2500)])
+        extra = rng.randint(0, near_dedup.spare(n, percent))
+        a = rng.sample(range(10**9), n)
+        common = rng.randint(max(1, n - near_dedup.spare(n, percent)), n)
+        if 100 * common < percent * (n + extra):
+            continue
+        x, y = sorted(a), sorted(a[:common] + [10**9 + i if rng.random() < 0.5 else -i - 1 for i in range(extra)])
+        rx, ry = (z[: near_dedup.retained(len(z), percent)] for z in (x, y))
+        shared = len({*rx} & {*ry})
+        assert shared >= max(near_dedup.sure_common(len(z), percent) for z in (x, y))
+
+
+def exchanged(base: list[str], places: list[int], tag: str) -> str:
+    return " ".join(f"{tag}{i}" if i in places else w for i, w in enumerate(base))
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_links_at_the_threshold(spark, percent):
+    """Texts whose overlap is the least that links, and one shingle less, at many sizes."""
+    docs = []
+    for size in [*range(6, 60, 3), 80, 107, 150, 240, 400, 901]:
+        base, n = words(size, 7000 + size).split(), size - 4
+        most = next(c for c in range(n, -1, -1) if 100 * c < percent * (2 * n - c))  # common shingles that don't link any more
+        for common in (most, most + 1):
+            gone = n - common  # cut from the end: as many words changed
+            docs.append((size * 10, " ".join(base)))
+            docs.append((size * 10 + 1 + common - most, exchanged(base, list(range(size - gone, size)), f"t{common}x")))
+    docs = list(dict.fromkeys(docs))
+    got = near_dedup.near_groups(spark, spark.createDataFrame(docs, "doc_id long, text string"), percent).collect()
+    want = brute_near(docs, percent)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert any(i != c for i, _, c in want) and any(i == c and i % 10 for i, _, c in want)
+
+
+@pytest.mark.parametrize("shared", [12, 40])
+def test_a_passage_in_all_documents_makes_few_pairs(spark, monkeypatch, shared):
+    seen, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, label, most=None: seen.setdefault(label, save(self, df, label, most)))
+    counts, drop = {}, Scratch.drop
+    monkeypatch.setattr(Scratch, "drop", lambda self, *labels: (counts.update({n: seen[n].count() for n in labels if "pairs" in n}), drop(self, *labels)))
+    passage = words(shared, 5)
+    docs = [(i, f"{words(60, 9000 + i)} {passage} {words(30, 20_000 + i)}") for i in range(600)]
+    got = near_dedup.near_groups(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got.filter("component_id = doc_id").count() == 600
+    assert counts["star-pairs"] + counts["cross-pairs"] <= 600
+
+
+def test_an_estimate_may_drop_links_at_the_stated_chance(spark):
+    docs = mutated(60)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    exact, cut = (sum(r.component_id != r.doc_id for r in near_dedup.near_groups(spark, df, loss=x).collect()) for x in (0.0, near_dedup.LOSS))
+    assert exact - 2 <= cut <= exact
+
+
 def test_near_stage_keeps_one(spark):
     docs = hard_rows() + [(doc, text, "en", "s0", len(text)) for doc, text in mutated(40)]
     kept = near_dedup.keep_one(spark, spark.createDataFrame(docs, SCHEMA)).collect()
