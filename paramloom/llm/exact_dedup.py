@@ -43,14 +43,15 @@ def _blocks(rows: DataFrame, block_bytes: int, fingerprint) -> DataFrame:
 
 
 def identities(
-    spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint=_fingerprint, row_id: str | None = None
-) -> DataFrame:
+    spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint=_fingerprint, row_id: str | None = None,
+    scratch: Scratch | None = None,
+) -> DataFrame:
     """One row per input row: row_id, doc_id, n_blocks, name, text_sha256.
 
     Rows have the same (n_blocks, name) exactly if their texts are the same.
     row_id: a column that identifies the rows; without it they are numbered.
     """
-    scratch = Scratch(spark, "exact")
+    scratch = scratch or Scratch(spark, "exact")
     text = text_or_empty()
     rows = docs.select(
         (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"),
@@ -91,12 +92,11 @@ def identities(
             )
         )
         step += 1
-        pairs = scratch.save(pairs, f"pairs{step}", most)
         known = named(scratch, pairs.select("a", "b").distinct(), f"named{step}", most=most)
         level = scratch.save(
             pairs.join(known, ["a", "b"]).select("row_id", "n_blocks", "pos", "name"), f"level{step}", most
         )
-        scratch.drop(f"pairs{step}", f"named{step}")
+        scratch.drop(f"named{step}")
         done.append(level.filter(f"n_blocks > {width} and n_blocks <= {2 * width}"))
         width *= 2
     final = done[0]
@@ -111,8 +111,9 @@ def exact_groups(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
     The row with the largest doc_id of each group of equal texts stays.
     """
-    scratch = Scratch(spark, "exact-ids")
-    ids = scratch.save(identities(spark, docs, **options), "ids")
+    scratch, inner = Scratch(spark, "exact-ids"), Scratch(spark, "exact")
+    ids = scratch.save(identities(spark, docs, scratch=inner, **options), "ids")
+    inner.free()
     best = ids.groupBy("n_blocks", "name").agg(
         F.max(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size")
     )

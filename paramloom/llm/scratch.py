@@ -10,7 +10,9 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
+import urllib.parse
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Named intermediate tables of one operator call."""
 
+    #: Where the folders of the running stage are noted, if a stage runs.
+    made: list[Scratch] | None = None
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,6 +49,8 @@ class Scratch:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
         self._fs.deleteOnExit(self._path(self.root))
+        if Scratch.made is not None:
+            Scratch.made.append(self)
 
     def save(self, df: DataFrame, label: str, most: int | None = None) -> DataFrame:
         """most: a proven bound of the row count, of ids and numbers. A table of at most SMALL rows goes to a few files, not one a partition."""
@@ -58,6 +65,35 @@ class Scratch:
             self._fs.delete(self._path(f"{self.root}/{label}"), True)
 
 
+    def free(self) -> None:
+        self._fs.delete(self._path(self.root), True)
+
+
+_through: list[Scratch] = []
+
+
+def as_stage(docs: DataFrame, apply: Callable[[], DataFrame]) -> DataFrame:
+    """Runs one stage of a pipeline whose results are written before the next stage begins.
+
+    So the tables of earlier stages go now, if docs is read from files and
+    none of these lies among them. An input without files (in memory) frees
+    nothing: it may still wait for those tables.
+    """
+    files = [urllib.parse.unquote(urllib.parse.urlparse(f).path) for f in docs.inputFiles()]
+    for old in list(_through) if files else ():
+        folder = urllib.parse.urlparse(old.root).path + "/"
+        if not any(f.startswith(folder) for f in files):
+            old.free()
+            _through.remove(old)
+    outer, Scratch.made = Scratch.made, []
+    try:
+        result = apply()
+        _through.extend(Scratch.made)
+    finally:
+        Scratch.made = outer
+    return result
+
+
 def named(scratch: Scratch, keys: DataFrame, label: str, name: str = "name", most: int | None = None) -> DataFrame:
     """Distinct rows of ``keys`` with an integer name each, in sort order.
 

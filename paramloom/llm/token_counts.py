@@ -6,10 +6,11 @@ only distinct texts that it lacks are encoded, and their counts appended.
 Content is digested as it stands, since any change of a text may change its
 tokens.
 
-Scale. Texts are shuffled once, after a map-side distinct, so a text with
-millions of copies costs one row per map task and one encoding. Everything
-else carries digests. The tokenizer's definition (a few MB, fixed) is the
-only broadcast.
+Scale. Digests are compared first: only texts that the cache lacks are
+shuffled, once, after a map-side distinct, so a text with millions of copies
+costs one row per map task and one encoding. Everything else carries digests.
+The tokenizer's definition (a few MB, fixed) is broadcast, and the missing
+digests if they are at most scratch.SMALL.
 
 Edge cases. Null text counts as empty: 0 bytes, 0 tokens. Special strings in
 a text count as the library counts them by default (one token). Repeated rows
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paramloom.llm.pieces import encoder
-from paramloom.llm.scratch import Scratch, bounded_batches, text_or_empty
+from paramloom.llm.scratch import Scratch, bounded_batches, if_small, shared_dir, text_or_empty
 
 LIMIT = 1024
 
@@ -74,7 +75,7 @@ def count_tokens(
     if exists:
         stored = spark.read.schema(schema).parquet(cache_path).filter(F.col("version") == version).select("content")
         missing = scratch.save(texts.select("content").distinct().join(stored, "content", "left_anti"), "missing")
-        texts = texts.join(missing, "content", "left_semi")
+        texts = texts.join(if_small(missing), "content", "left_semi")
     counted = texts.distinct().mapInArrow(_counter(spec), "content string, n_tokens long")
     counted.withColumn("version", F.lit(version)).select("content", "version", "n_tokens").write.mode("append").parquet(cache_path)
 
@@ -93,5 +94,12 @@ def count_tokens(
     )
 
 
+def cache_of(spark: SparkSession, corpus: str) -> str:
+    """The folder of a corpus's counts in the cluster's shared folder, kept from run to run."""
+    return f"{shared_dir(spark).rstrip('/')}/token-cache/{hashlib.sha256(corpus.encode()).hexdigest()[:16]}"
+
+
 def op4_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The first run over a corpus encodes its distinct texts, a later one those that came since."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return count_tokens(spark, docs, cache_path=cache_of(spark, sf_dir))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paramloom.llm import catalog, exact_dedup, graph, line_dedup, mixing, near_dedup, packing, pieces, pii, quality, sharding, token_counts, url_filter
-from paramloom.llm.scratch import Scratch
+from paramloom.llm import scratch as scratch_module
+from paramloom.llm.scratch import Scratch, as_stage
 from tests.llm.helpers import CLASHES, SCHEMA, collected, empty, hard, hard_rows, words
 from tests.oracle import check
 
@@ -250,6 +251,16 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert all(r.over_limit == (r.n_tokens > 1024) for r in token_counts.count_tokens(spark, docs, cache_path=cache).collect())
 
 
+@needs_tables
+def test_the_query_keeps_its_cache(spark):
+    query, cache = catalog.QUERIES["op4_digest_cache"], token_counts.cache_of(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = collected(token_counts.count_tokens(spark, docs), "doc_id", "n_bytes", "n_tokens")
+    for _ in range(2):
+        assert collected(query(spark, SF), "doc_id", "n_bytes", "n_tokens") == want
+        assert spark.read.parquet(cache).count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
 def check_packing(rows, docs: list[tuple], capacity: int):
     tok = library("word")
     want = Counter()
@@ -616,6 +627,20 @@ def test_short_repeats_are_removed(spark):
 
 # the pipeline
 
+def test_tables_of_a_stage_go_when_the_next_begins(spark, tmp_path):
+    hard(spark).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    first = as_stage(docs, lambda: exact_dedup.drop_copies(spark, docs))
+    later = as_stage(first, lambda: near_dedup.keep_one(spark, first))  # reads the first stage's own tables: they stay
+    assert first.count() == 11 and later.count() == 10
+    folders = [s for s in scratch_module._through if s._fs.exists(s._path(s.root))]
+    later.write.parquet(str(tmp_path / "later"))
+    again = spark.read.parquet(str(tmp_path / "later"))
+    assert as_stage(again, lambda: mixing.sample(spark, again)).count() <= 10
+    assert folders and not any(s._fs.exists(s._path(s.root)) for s in folders)
+    assert Scratch.made is None
+
+
 def test_stages(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mixing", "packing"]
 
