@@ -114,20 +114,21 @@ def q06_content_address(spark, sf_dir):
 
 
 def _sweep_and_store(spark, sf_dir):
+    """All events, and a store of the values that purchases had."""
     events = _t(spark, sf_dir, "events")
-    store = events.filter("event_id % 2 = 0").select("value").distinct()
-    return events.filter("event_id % 2 = 1").select("event_id", "value"), store
+    store = events.filter("event_type = 'purchase'").select("value").distinct()
+    return events.select("event_id", "value"), store
 
 
-_STORE = "store AS (SELECT DISTINCT value FROM events WHERE event_id % 2 = 0)"
+_STORE = "store AS (SELECT DISTINCT value FROM events WHERE event_type = 'purchase')"
 
 
-@_query(f"WITH {_STORE} SELECT event_id, value FROM events WHERE event_id % 2 = 1 AND value IN (SELECT value FROM store)")
+@_query(f"WITH {_STORE} SELECT event_id, value FROM events WHERE value IN (SELECT value FROM store)")
 def q07_memo_hits(spark, sf_dir):
     return memo.hits(*_sweep_and_store(spark, sf_dir), ["value"])
 
 
-@_query(f"WITH {_STORE} SELECT event_id, value FROM events WHERE event_id % 2 = 1 AND value NOT IN (SELECT value FROM store)")
+@_query(f"WITH {_STORE} SELECT event_id, value FROM events WHERE value NOT IN (SELECT value FROM store)")
 def q08_memo_misses(spark, sf_dir):
     return memo.misses(*_sweep_and_store(spark, sf_dir), ["value"])
 
@@ -135,9 +136,9 @@ def q08_memo_misses(spark, sf_dir):
 @_query(f"""WITH {_STORE} SELECT event_id, e.value, e.value * e.value AS result, CASE WHEN s.value IS NULL THEN 'computed' ELSE 'cache' END AS source
 FROM events e LEFT JOIN store s ON e.value = s.value""")
 def q09_memo_sweep(spark, sf_dir):
-    events = _t(spark, sf_dir, "events").select("event_id", "value")
-    store = events.filter("event_id % 2 = 0").select("value").distinct().withColumn("result", F.col("value") * F.col("value"))
-    return memo.recall(events, store, ["value"], ["result"], {"result": F.col("value") * F.col("value")})
+    sweep, known = _sweep_and_store(spark, sf_dir)
+    store = known.withColumn("result", F.col("value") * F.col("value"))
+    return memo.recall(sweep, store, ["value"], ["result"], {"result": F.col("value") * F.col("value")})
 
 
 @_query("""SELECT user_id, event_type, event_id, value FROM events
@@ -369,10 +370,22 @@ def q37_decay(spark, sf_dir):
     )
 
 
-@_query(None)
+@_query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value / 200 AS w, value / 7 AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s(user_id, i, re, im, lost, path, mag) AS (
+  SELECT user_id, 0::bigint, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, i, CASE WHEN gone > len THEN 0 WHEN len = 0 THEN re ELSE re * (1 - gone / len) END, CASE WHEN gone > len THEN 0 WHEN len = 0 THEN im ELSE im * (1 - gone / len) END,
+         lost + least(gone, len), len + lost, mag
+  FROM (SELECT *, (len + lost - before) * exp(-(len + lost) * (len + lost)) * (exp(-(len + lost) / 0.5) / 0.5 - 2 * (len + lost) * (1 - exp(-(len + lost) / 0.5))) AS gone
+        FROM (SELECT *, sqrt(re * re + im * im) AS len FROM (
+          SELECT s.user_id, e.i, s.re + 0.02 * 2 * e.w * cos(e.a) AS re, s.im + 0.02 * 2 * e.w * sin(e.a) AS im, s.lost, sqrt(s.re * s.re + s.im * s.im) + s.lost AS before, 2 * e.w AS mag
+          FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))))
+SELECT user_id, event_id, round(exp(-path * path), 6) + 0.0 AS purity, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im, round(mag, 6) + 0.0 AS magnitude,
+       round(lost, 6) + 0.0 AS forgotten, round(path, 6) + 0.0 AS path FROM s JOIN e USING (user_id, i)""")
 def q38_stateful_recurrence(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return signals.purity(rows, "user_id", "event_id", "value", 10.0)
+    rows = _t(spark, sf_dir, "events").selectExpr("user_id", "event_id", "ts", "value / 200 as w", "value / 7 as a")
+    kept = signals.coherence(rows, "user_id", ["ts", "event_id"], "w", "a", 0.02, 1.0, 0.5)
+    return kept.select("user_id", "event_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("purity", "re", "im", "magnitude", "forgotten", "path")])
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -393,9 +406,12 @@ def q39_typed_roundtrip(spark, sf_dir):
     return registry.read(spark, writer, path)
 
 
-@_query(None)
+_UNIFORM = "(('0x' || substr(md5({}), 1, 13))::bigint / 4503599627370496.0::double)"
+
+
+@_query(f"""SELECT i, round(sqrt(-2 * ln(1 - {_UNIFORM.format("'7:' || i || ':r'")})) * cos(2 * pi() * {_UNIFORM.format("'7:' || i || ':a'")}), 6) + 0.0 AS e FROM range(10000) t(i)""")
 def q40_noise_generation(spark, sf_dir):
-    return signals.gaussian(spark, 10_000, 7)
+    return signals.gaussian(spark, 10_000, 7).select("i", (F.round("e", 6) + F.lit(0.0)).alias("e"))
 
 
 @_query("SELECT event_id, value, value * value AS result FROM events")
@@ -460,17 +476,24 @@ def q48_orphan_results(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").join(known, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
 
 
-@_query(None)
+@_query(f"""WITH k AS (SELECT s AS series_id, k, {_UNIFORM.format("'3:' || s || ':' || k")} AS u, k * {_DF!r}::double AS f FROM range(4) a(s), range(513) b(k)),
+x AS (SELECT series_id, i, sum(cos(2 * pi() * ((k * i) % 1024) / 1024 + 2 * pi() * u) / sqrt(f)) AS x FROM k, range(1024) c(i) WHERE f BETWEEN 1.0 AND 20.0 AND k > 0 GROUP BY ALL)
+SELECT series_id, i, round(x / stddev_pop(x) OVER (PARTITION BY series_id), 6) + 0.0 AS value FROM x""")
 def q49_pink_noise(spark, sf_dir):
-    return signals.pink_traces(spark, 4, 1024, 0.01, 1.0, 20.0, seed=3)
+    traces = signals.pink_traces(spark, 4, 1024, 0.01, 1.0, 20.0, seed=3)
+    return traces.select("series_id", "i", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
-@_query(None)
+@_query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+s(user_id, i, x) AS (SELECT DISTINCT user_id, 0::bigint, 0.0::double FROM events
+UNION ALL SELECT s.user_id, e.i, s.x + 0.7 * (0.0 - s.x) * 0.01 + {0.3 * math.sqrt(0.01)!r} * e.value FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT user_id, event_id, round(x, 6) + 0.0 AS x FROM s JOIN e USING (user_id, i)""")
 def q50_relaxation_states(spark, sf_dir):
-    return signals.states(_t(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value", 0.7, 0.0, 0.3, 0.01)
+    rows = signals.states(_t(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value", 0.7, 0.0, 0.3, 0.01)
+    return rows.select("user_id", "event_id", (F.round("x", 6) + F.lit(0.0)).alias("x"))
 
 
-@_query(None)
+@_query("SELECT event_id, value AS o, value * value AS result, 'cache' AS source FROM events")
 def q51_study_sweep(spark, sf_dir):
     """A whole study: a sweep over events through the store, twice; the second run is all cache."""
     from paramloom.plans.study import Step, Study

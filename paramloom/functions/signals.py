@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,23 +37,42 @@ def last_of_relaxation(df: DataFrame, series: str, order: list[str], noise: str,
     return df.groupBy(series).agg(rows.alias("_rows"), F.count(F.lit(1)).alias("n")).select(series, "n", end.alias("x"))
 
 
-def states(df: DataFrame, series: str, order: list[str], noise: str, theta: float, mu: float, sigma: float, dt: float, start: float = 0.0) -> DataFrame:
-    """Every state of the recurrence, one row per input row, in linear time (Arrow batches per series)."""
-    import numpy as np
+def in_order(df: DataFrame, series: str, order: list[str], values: list[str], start: Callable, step: Callable, out: str) -> DataFrame:
+    """series, order and the columns out of a recurrence: start() is its first state, step(state, *values) gives the next state and a row.
+
+    Rows are dealt by series, sorted, and read in batches with the state
+    carried over, so a series of any length needs the memory of one batch.
+    """
+    import pandas as pd
+
+    columns = [series, *order]
+    schema = T.StructType([*df.select(*columns).schema.fields, *T.StructType.fromDDL(out).fields])
+    names = schema.names[len(columns) :]
+
+    def run(batches: Iterator):
+        at, state = None, None
+        for pdf in batches:
+            rows = []
+            for key, row in zip(pdf[series], zip(*(pdf[v] for v in values))):
+                if state is None or key != at and not (pd.isna(key) and pd.isna(at)):
+                    at, state = key, start()
+                state, made = step(state, *row)
+                rows.append(made)
+            yield pd.concat([pdf[columns], pd.DataFrame(rows, columns=names, index=pdf.index)], axis=1)
+
+    dealt = df.select(*dict.fromkeys([*columns, *values])).repartition(series).sortWithinPartitions(series, *order)
+    return dealt.mapInPandas(run, schema)
+
 
-    schema = T.StructType([*df.select(series, *order).schema.fields, T.StructField("x", T.DoubleType())])
+def states(df: DataFrame, series: str, order: list[str], noise: str, theta: float, mu: float, sigma: float, dt: float, start: float = 0.0) -> DataFrame:
+    """Every state x of the recurrence, one row per input row, in linear time."""
     scale = sigma * math.sqrt(dt)
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        out = np.empty(len(pdf))
-        x = start
-        for i, e in enumerate(pdf[noise].to_numpy()):
-            x = x + theta * (mu - x) * dt + scale * e
-            out[i] = x
-        return pdf[[series, *order]].assign(x=out)
+    def step(x, e):
+        x = x + theta * (mu - x) * dt + scale * e
+        return x, (x,)
 
-    return df.groupBy(series).applyInPandas(run, schema)
+    return in_order(df, series, order, [noise], lambda: start, step, "x double")
 
 
 def standardised(df: DataFrame, series: str, value: str) -> DataFrame:
@@ -72,7 +92,12 @@ def pink_weights(spark: SparkSession, n: int, dt: float, f_min: float, f_max: fl
     return s.crossJoin(F.broadcast(total)).select("i", "f", F.sqrt(F.expr(f"s / (2D * total * {df!r}D)")).alias("amplitude"))
 
 
-def pink_noise(n: int, dt: float, f_min: float, f_max: float, seed: int):
+def _turn(*parts) -> float:
+    """As uniform, on the driver or in a worker."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
+def pink_noise(n: int, dt: float, f_min: float, f_max: float, seed: int | str):
     """One trace of 1/f noise with unit variance (numpy)."""
     import numpy as np
 
@@ -81,7 +106,7 @@ def pink_noise(n: int, dt: float, f_min: float, f_max: float, seed: int):
     if not band.any():
         raise ValueError("no frequency lies in the band")
     spectrum = np.zeros(len(freqs), dtype=complex)
-    turns = np.random.default_rng(seed).random(int(band.sum()))
+    turns = np.array([_turn(seed, k) for k in np.flatnonzero(band)])
     spectrum[band] = np.exp(2j * np.pi * turns) / np.sqrt(freqs[band])
     trace = np.fft.irfft(spectrum, n=n)
     return trace / trace.std()
@@ -95,7 +120,7 @@ def pink_traces(spark: SparkSession, series: int, n: int, dt: float, f_min: floa
 
         for pdf in batches:
             for k in pdf["id"]:
-                yield pd.DataFrame({"series_id": k, "i": range(n), "value": pink_noise(n, dt, f_min, f_max, seed * 1_000_003 + int(k))})
+                yield pd.DataFrame({"series_id": k, "i": range(n), "value": pink_noise(n, dt, f_min, f_max, f"{seed}:{k}")})
 
     return spark.range(series).mapInPandas(make, "series_id long, i long, value double")
 
@@ -208,25 +233,79 @@ def decay_slope(t: Column, gauss_tau: Column, exp_tau: Column) -> Column:
     return both * (F.lit(-2.0) * t / (gauss_tau * gauss_tau) - F.lit(1.0) / exp_tau)
 
 
-def purity(df: DataFrame, series: str, order: str, total: str, tau: float) -> DataFrame:
-    """Per row: the total's drop, and how long the decay has run since the last rise (a rise restarts it)."""
-    schema = T.StructType([df.schema[series], df.schema[order], *T.StructType.fromDDL("drop double, age long, expected double").fields])
+def coherence(df: DataFrame, series: str, order: list[str], weight: str, angle: str, dt: float, rate: float, tau: float) -> DataFrame:
+    """What a two-level state keeps of its coherence while its phase spreads and its surroundings forget.
+
+    weight: the state's off-diagonal magnitude; angle: the phase at which it
+    dephases. Each row adds dt * rate * 2 * weight at that angle to a vector
+    (re, im). The path walked is that vector's length plus the forgotten part.
+    Of a longer path, the share that slope() names is forgotten: it leaves the
+    vector along its own direction, and a vector shorter than that is lost
+    whole. purity is the Gaussian decay of the path.
+    """
+
+    def slope(x: float) -> float:  # of exp(-x**2) * (1 - exp(-x / tau))
+        keep, memory = math.exp(-x * x), math.exp(-x / tau)
+        return keep * (memory / tau - 2 * x * (1 - memory))
+
+    def step(state, w, at):
+        re, im, lost = state
+        before, turn = math.hypot(re, im) + lost, 2 * w
+        re, im = re + dt * rate * turn * math.cos(at), im + dt * rate * turn * math.sin(at)
+        length = math.hypot(re, im)
+        path = length + lost
+        gone = slope(path) * (path - before)
+        if gone > length:
+            re, im, lost = 0.0, 0.0, lost + length
+        else:
+            left = 1 - gone / length if length > 0 else 1.0
+            re, im, lost = re * left, im * left, lost + gone
+        return (re, im, lost), (math.exp(-path * path), re, im, turn, lost, path)
+
+    columns = "purity double, re double, im double, magnitude double, forgotten double, path double"
+    return in_order(df, series, order, [weight, angle], lambda: (0.0, 0.0, 0.0), step, columns)
+
+
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) that the parts alone decide: the same on any partitioning and after a lost executor."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        drops, ages, expected, last, age = [], [], [], None, 0
-        for value in pdf[total]:
-            change = 0.0 if last is None else value - last
-            age = 0 if change > 0 or last is None else age + 1
-            drops.append(min(change, 0.0))
-            ages.append(age)
-            expected.append(math.exp(-((age / tau) ** 2)))
-            last = value
-        return pdf[[series, order]].assign(drop=drops, age=ages, expected=expected)
 
-    return df.groupBy(series).applyInPandas(run, schema)
+def normal(*parts: Column) -> Column:
+    """A standard normal number that the parts alone decide."""
+    radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(*parts, F.lit("r"))))
+    return radius * F.cos(F.lit(2 * math.pi) * uniform(*parts, F.lit("a")))
 
 
 def gaussian(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """(i, e): standard normal numbers, the same for a seed and partitioning."""
-    return spark.range(0, n, 1, 4).select(F.col("id").alias("i"), F.randn(seed).alias("e"))
+    """(i, e): standard normal numbers, the same for a seed."""
+    return spark.range(n).select(F.col("id").alias("i"), normal(F.lit(seed), F.col("id")).alias("e"))
+
+
+def rotated(x: Column, y: Column, z: Column, axis: tuple[float, float, float], angle: Column) -> tuple[Column, Column, Column]:
+    """A state's vector after a rotation by angle about an axis: what a pulse does to it."""
+    size = math.sqrt(sum(a * a for a in axis))
+    a, b, c = (F.lit(v / size) for v in axis)
+    along, cos, sin = a * x + b * y + c * z, F.cos(angle), F.sin(angle)
+    rest = along * (F.lit(1.0) - cos)
+    return x * cos + (b * z - c * y) * sin + a * rest, y * cos + (c * x - a * z) * sin + b * rest, z * cos + (a * y - b * x) * sin + c * rest
+
+
+def frames(df: DataFrame, series: str, order: list[str], x: str, y: str, z: str, most: int) -> DataFrame:
+    """(frame, arrow end, its shadows on the three walls) of at most ``most`` evenly strided states per series, for an animation."""
+    w = Window.partitionBy(series)
+    numbered = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    stride = F.ceil(F.col("_n") / most)
+    wall = F.lit(-1.0)
+    return numbered.filter(F.col("_i") % stride == 0).select(
+        series, (F.col("_i") / stride).cast("int").alias("frame"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z"),
+        F.array(wall, F.col(y), F.col(z)).alias("on_x"), F.array(F.col(x), wall, F.col(z)).alias("on_y"), F.array(F.col(x), F.col(y), wall).alias("on_z"),
+    )
+
+
+def drawn(df: DataFrame, series: str, t: str, value: str, bins: int) -> DataFrame:
+    """The lowest and highest value of each of ``bins`` stretches of time per series: a plot of bounded size that loses no peak."""
+    ends = df.groupBy(series).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    spread = df.join(ends, series).withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col(t) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).cast("int"))
+    return spread.withColumn("bin", F.coalesce("bin", F.lit(0))).groupBy(series, "bin").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n"))

@@ -56,32 +56,38 @@ def missing_steps(edges: DataFrame, nodes: DataFrame, child: str, node: str) ->
     return edges.join(nodes.select(F.col(node).alias(child)), child, "left_anti")
 
 
-def cycles(spark: SparkSession, edges: DataFrame, limit: int = 60) -> DataFrame:
-    """(node, length, path) for nodes on a cycle of at most limit steps: its shortest way back."""
+#: Steps of a way through a graph; a longer way is an error, never left out.
+LONGEST = 10_000
+
+
+def cycles(spark: SparkSession, edges: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(node, length, path) for nodes on a cycle: the shortest way back. A way ends where it meets itself."""
     edges.createOrReplaceTempView("_graph_edges")
     ways = spark.sql(
         f"""
-        WITH RECURSIVE ways(node, at, length, path) MAX RECURSION LEVEL {limit + 1} AS (
-          SELECT parent, child, 1, concat(cast(parent AS string), '>', cast(child AS string)) FROM _graph_edges
+        WITH RECURSIVE ways(node, at, way) MAX RECURSION LEVEL {longest} AS (
+          SELECT parent, child, array(parent, child) FROM _graph_edges
           UNION ALL
-          SELECT w.node, e.child, w.length + 1, concat(w.path, '>', cast(e.child AS string))
-          FROM ways w JOIN _graph_edges e ON w.at = e.parent WHERE w.at <> w.node AND w.length < {limit})
-        SELECT node, length, path FROM ways WHERE at = node
+          SELECT w.node, e.child, array_append(w.way, e.child)
+          FROM ways w JOIN _graph_edges e ON w.at = e.parent
+          WHERE w.at <> w.node AND (e.child = w.node OR NOT array_contains(w.way, e.child)))
+        SELECT node, size(way) - 1 AS length, array_join(way, '>') AS path FROM ways WHERE at = node
         """
     )
     return ways.groupBy("node").agg(F.min(F.struct("length", "path")).alias("m")).select("node", "m.length", "m.path")
 
 
-def levels(spark: SparkSession, edges: DataFrame, root: int, limit: int = 60) -> DataFrame:
+def levels(spark: SparkSession, edges: DataFrame, root: int, longest: int = LONGEST) -> DataFrame:
     """(node, level): the shortest number of edges from root."""
     edges.createOrReplaceTempView("_graph_edges")
     ways = spark.sql(
         f"""
-        WITH RECURSIVE down(node, level) MAX RECURSION LEVEL {limit + 1} AS (
-          SELECT cast({root} AS bigint), 0
+        WITH RECURSIVE down(node, way) MAX RECURSION LEVEL {longest} AS (
+          SELECT cast({root} AS bigint), array(cast({root} AS bigint))
           UNION ALL
-          SELECT cast(e.child AS bigint), d.level + 1 FROM down d JOIN _graph_edges e ON d.node = e.parent WHERE d.level < {limit})
-        SELECT node, level FROM down
+          SELECT cast(e.child AS bigint), array_append(d.way, cast(e.child AS bigint))
+          FROM down d JOIN _graph_edges e ON d.node = e.parent WHERE NOT array_contains(d.way, cast(e.child AS bigint)))
+        SELECT node, size(way) - 1 AS level FROM down
         """
     )
     return ways.groupBy("node").agg(F.min("level").alias("level"))

@@ -214,3 +214,14 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("o double").parquet(str(tmp_path / "in"))
     ingest(study, "power", stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination(60)
     assert sorted(r.result for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1.0, 4.0]
+
+
+def test_long_ways_are_found_or_refused(spark):
+    ring = spark.range(90).selectExpr("cast(id as int) as parent", "cast((id + 1) % 90 as int) as child")
+    line = spark.range(70).selectExpr("cast(100 + id as int) as parent", "cast(101 + id as int) as child")
+    tail = spark.createDataFrame([(95, 0)], "parent int, child int")  # leads into the ring, lies on no cycle
+    found = {r.node: r.length for r in graph.cycles(spark, ring.union(line).union(tail)).collect()}
+    assert found == dict.fromkeys(range(90), 90)
+    assert max(r.level for r in graph.levels(spark, line, 100).collect()) == 70
+    with pytest.raises(Exception, match="RECURSION"):
+        graph.cycles(spark, ring, longest=20).collect()
