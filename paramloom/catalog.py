@@ -503,3 +503,7 @@ def q51_study_sweep(spark, sf_dir):
     sweep = _t(spark, sf_dir, "events").select("event_id", F.col("value").alias("o"))
     study.run_sweep("power", sweep)
     return study.run_sweep("power", sweep)
+
+
+# the other catalogues register themselves here
+from paramloom import catalog_runs, catalog_sets, catalog_store  # noqa: E402, F401

@@ -107,6 +107,8 @@ def merged_use(marks: DataFrame, key: str = "key", used: str = "used") -> DataFr
 def visible(entries: DataFrame, settings: DataFrame) -> DataFrame:
     """entries (key, used, visible) under each of settings (show_unused, show_invisible)."""
     keep = (F.col("used") | F.col("show_unused")) & (F.col("visible") | F.col("show_invisible"))
+    if settings.distinct().count() > 4:
+        raise ValueError("there are four settings at most")
     return entries.crossJoin(F.broadcast(settings)).filter(keep)
 
 
@@ -116,6 +118,12 @@ def aliased(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     return entries.join(names, "key").drop("key").withColumnRenamed("name", "key")
 
 
+def by_batch(results: DataFrame, parent: str, batch_id: str, columns: list[str]) -> DataFrame:
+    """One row per parent with runs: its runs' results by batch id, of equal ids the last in the order of the columns."""
+    one = results.groupBy(parent, batch_id).agg(F.max(F.struct(*columns)).alias("_r"))
+    return one.groupBy(parent).agg(F.map_from_entries(F.collect_list(F.struct(batch_id, "_r"))).alias("runs"))
+
+
 def folded(results: DataFrame, parent: str, order: str, columns: list[str]) -> DataFrame:
     """One row per parent: an array of each column in the given order, and the count."""
     rows = F.sort_array(F.collect_list(F.struct(order, *columns)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import copy
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -53,6 +53,34 @@ class Result:
         return (self.files or {})[key]
 
 
+class SweptResults(Mapping):
+    """The results of a swept expression step by batch id, read when asked for: one row, or all in order and a partition at a time."""
+
+    def __init__(self, frame: DataFrame, values: list[str]):
+        self.frame, self._values = frame.select("ord", "batch_id", *values), values
+
+    def _result(self, row) -> Result:
+        return Result({v: row[v] for v in self._values})
+
+    def __getitem__(self, batch_id: str) -> Result:
+        row = self.frame.filter(F.col("batch_id") == str(batch_id)).first()
+        if row is None:
+            raise KeyError(batch_id)
+        return self._result(row)
+
+    def items(self) -> Iterator[tuple[str, Result]]:
+        return ((r["batch_id"], self._result(r)) for r in self.frame.orderBy("ord").toLocalIterator())
+
+    def values(self) -> Iterator[Result]:
+        return (result for _, result in self.items())
+
+    def __iter__(self) -> Iterator[str]:
+        return (batch_id for batch_id, _ in self.items())
+
+    def __len__(self) -> int:
+        return self.frame.count()
+
+
 @dataclass
 class Sweep:
     """Runs of a needed step: rows of overrides (dotted names) by batch_id, all with the schema of the first."""
@@ -217,7 +245,7 @@ class Study:
             base = {k: params.node(k).read() for k in step.uses if k not in (batch.schema or {})}
             done = self.run_sweep(child, batch.frame(self.spark), base, options)
             values = list(step.expression)
-            return {r["batch_id"]: Result({v: r[v] for v in values}) for r in done.orderBy("ord").collect()}
+            return SweptResults(done, values)
         out: dict[str, Result] = {}
         for batch_id, overrides in batch.runs.items():
             inner = params.overlaid(unflatten(overrides))

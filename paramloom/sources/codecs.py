@@ -7,6 +7,7 @@ the caller.
 
 from __future__ import annotations
 
+import importlib
 import pickle
 import urllib.parse
 from collections.abc import Callable
@@ -95,8 +96,15 @@ def _write_list(spark: SparkSession, values: list, path: str) -> None:
     spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, value double").write.mode("overwrite").parquet(path)
 
 
+#: Numbers of a stored list that may be read back to the driver; a longer one is read as a DataFrame.
+MOST_NUMBERS = 10_000_000
+
+
 def _read_list(spark: SparkSession, path: str) -> list[float]:
-    return [r.value for r in spark.read.parquet(path).orderBy("i").collect()]  # a result that was a driver-side list
+    stored = spark.read.parquet(path)
+    if stored.count() > MOST_NUMBERS:
+        raise ValueError(f"{path} holds more than {MOST_NUMBERS} numbers: read it as a DataFrame")
+    return [r.value for r in stored.orderBy("i").collect()]
 
 
 def _write_array(spark: SparkSession, array, path: str) -> None:
@@ -137,6 +145,23 @@ def trusted_pickle(registry: Registry) -> None:
     )
 
 
+def load_object(dotted: str) -> Any:
+    """A module's attribute by its dotted path; only for names that the caller trusts."""
+    module, _, name = dotted.rpartition(".")
+    if not module:
+        raise LookupError(f"{dotted} names no attribute of a module")
+    return getattr(importlib.import_module(module), name)
+
+
+def foreign(registry: Registry, cls: type, to_bytes: Callable[[Any], bytes], from_bytes: Callable[[bytes], Any]) -> None:
+    """A codec for a class with a file format of its own (HDF5, say): its bytes are stored, and parsed where they are read."""
+    registry.register(
+        cls,
+        lambda spark, value, path: _write_bytes(spark, to_bytes(value), path),
+        lambda spark, path: from_bytes(_read_bytes(spark, path)),
+    )
+
+
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of foreign formats as bytes (path, content), to be decoded by a user's step."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("content"))

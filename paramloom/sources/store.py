@@ -90,6 +90,20 @@ class Store:
             self._append("step", self.spark.createDataFrame([(name, description, number, self._sequence())], STEP))
         return number
 
+    def register_all(self, versions: DataFrame) -> None:
+        """Records many versions at once: rows of (name, version, changelog, env_schema, current), current telling which one a step is at."""
+        seq = F.lit(self._sequence())
+        rows = versions.withColumn("file_schema", F.lit(None).cast("map<string,struct<writer:string,root:string>>")).withColumn("seq", seq)
+        self._append("step_version", rows.select("name", F.col("version").cast("int").alias("version"), "changelog", "env_schema", "file_schema", "seq"))
+        now = versions.filter("current").select("name", F.lit("").alias("description"), F.col("version").cast("int").alias("current_version"), seq.alias("seq"))
+        self._append("step", now)
+
+    def version_like(self, name: str, env_schema: dict[str, str]) -> DataFrame:
+        """The versions of a step with these parameters, whatever their order: maps don't compare, their sorted entries do."""
+        want = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in sorted(env_schema.items())])
+        have = F.sort_array(F.map_entries("env_schema"))
+        return self.table("step_version").filter((F.col("name") == name) & (have == want))
+
     # results
 
     def results(self, step: str, version: int | None = None, history: bool = False) -> DataFrame:
@@ -124,6 +138,17 @@ class Store:
             ),
         )
 
+    def save_rows(self, results: DataFrame) -> None:
+        """Writes results of many steps: rows of (step, version, environment, env_key, data, created_at, seq); seq orders equal keys."""
+        base = self._sequence()
+        self._append(
+            "result",
+            results.select(
+                "environment", "env_key", "data", F.lit(None).cast("string").alias("file_path"), F.col("version").cast("int").alias("version"),
+                F.col("created_at").cast("timestamp").alias("created_at"), F.expr("uuid()").alias("run_id"), (F.lit(base) + F.col("seq")).alias("seq"), "step",
+            ),
+        )
+
     def compact(self, step: str) -> None:
         """Rewrites a step's partition without superseded rows: written beside it, then swapped in."""
         keep = latest(self.raw("result").filter(F.col("step") == step), TABLES["result"][1], ["seq"])
