@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, on DataFrames only.
 
 Token counts are summed per cell (source, language, topic). The target share
-of a source, language or topic is its natural share to a power below one,
-made to sum to one, so common ones shrink and rare ones grow. Raking scales
+of a source, language or topic is the one the caller gives; of those the
+caller doesn't name it is the natural share to a power below one, so common
+ones shrink and rare ones grow. All are made to sum to one. Raking scales
 the cells' keeping probabilities to meet the source targets, then the
 language targets, then the topic targets, ``ROUNDS`` times over; a
 probability is at most one, so a cell never gives more than it has. A
@@ -37,6 +38,8 @@ ROUNDS = 8
 BUDGET = 0.5
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 SEED = "mix-1"
+#: Shares by value for some of source, lang and topic.
+Targets = dict[str, dict[str, float]]
 
 
 def _described(docs: DataFrame, topic: str | None = None) -> DataFrame:
@@ -58,7 +61,7 @@ def _described(docs: DataFrame, topic: str | None = None) -> DataFrame:
     ).select("doc", "doc_id", "_source", "_lang", "_topic", "_tokens")
 
 
-def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, topic: str | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, topic: str | None = None, budget: float = BUDGET, rounds: int = ROUNDS, targets: Targets | None = None) -> DataFrame:
     """The cells with their probability p."""
     dims = ("source", "lang", "topic")
     cells = _described(docs, topic).groupBy(*[F.col(f"_{d}").alias(d) for d in dims]).agg(F.sum("_tokens").cast("double").alias("tokens"))
@@ -68,6 +71,9 @@ def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, topic: str | Non
     goals = {}
     for d in dims:
         shares = cells.groupBy(d).agg(F.sum("tokens").alias("has")).withColumn("raw", F.expr(f"power(has / {total!r}D, {POWERS[d]}D)") if total else F.lit(0.0))
+        if given := (targets or {}).get(d):
+            wanted = F.create_map(*[F.lit(x) for value, share in given.items() for x in (value, float(share))])
+            shares = shares.withColumn("raw", F.coalesce(F.try_element_at(wanted, F.col(d)), "raw"))
         shares = scratch.save(shares.select(d, "raw"), f"shares-{d}", most)
         norm = shares.agg(F.sum("raw")).first()[0] or 1.0
         goals[d] = scratch.save(shares.select(d, (F.col("raw") / F.lit(norm) * F.lit(budget * total)).alias("goal")), f"goals-{d}", most)
@@ -90,23 +96,23 @@ def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, topic: str | Non
 _DRAW = f"cast(conv(substring(md5(concat('{SEED}:', coalesce(cast(doc_id as string), ''))), 1, 8), 16, 10) as double) / 4294967296D"
 
 
-def _drawn(spark: SparkSession, docs: DataFrame, topic: str | None, budget: float) -> DataFrame:
+def _drawn(spark: SparkSession, docs: DataFrame, topic: str | None, budget: float, targets: Targets | None) -> DataFrame:
     scratch = Scratch(spark, "mixing")
-    cells = scratch.save(fit(spark, scratch, docs, topic, budget).select(*[F.col(d).alias(f"_{d}") for d in ("source", "lang", "topic")], F.col("p").alias("_p")), "fitted")
+    cells = scratch.save(fit(spark, scratch, docs, topic, budget, targets=targets).select(*[F.col(d).alias(f"_{d}") for d in ("source", "lang", "topic")], F.col("p").alias("_p")), "fitted")
     return _described(docs, topic).join(cells, ["_source", "_lang", "_topic"]).withColumn("_kept", F.expr(f"{_DRAW} < _p"))
 
 
-def weigh(spark: SparkSession, docs: DataFrame, topic: str | None = None, budget: float = BUDGET) -> DataFrame:
+def weigh(spark: SparkSession, docs: DataFrame, topic: str | None = None, budget: float = BUDGET, targets: Targets | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability, kept per document."""
-    return _drawn(spark, docs, topic, budget).select(
+    return _drawn(spark, docs, topic, budget, targets).select(
         F.col("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
         F.col("_tokens").alias("n_tokens"), F.round("_p", 6).alias("probability"), F.col("_kept").alias("kept"),
     )
 
 
-def sample(spark: SparkSession, docs: DataFrame, topic: str | None = None, budget: float = BUDGET) -> DataFrame:
+def sample(spark: SparkSession, docs: DataFrame, topic: str | None = None, budget: float = BUDGET, targets: Targets | None = None) -> DataFrame:
     """The documents that stay, with their columns."""
-    return _drawn(spark, docs, topic, budget).filter("_kept").select("doc.*")
+    return _drawn(spark, docs, topic, budget, targets).filter("_kept").select("doc.*")
 
 
 def op5_raking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,6 +340,22 @@ def test_raking_meets_its_targets(spark):
     assert ((got.probability > 0) & (got.probability <= 1)).all()
 
 
+def test_raking_to_given_shares(spark):
+    rows = [(i, words(100, i), ("en", "de", "fr")[i % 3], f"s{i % 2}", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    targets = {"lang": {"en": 0.2, "de": 0.3, "fr": 0.5}, "source": {"s0": 0.6, "s1": 0.4}}
+    cells = mixing.fit(spark, Scratch(spark, "t"), docs, targets=targets, budget=0.4).collect()
+    all_ = sum(c.tokens * c.p for c in cells)
+    assert all_ == pytest.approx(0.4 * sum(c.tokens for c in cells), rel=1e-6)
+    for d, shares in targets.items():
+        for value, share in shares.items():
+            assert sum(c.tokens * c.p for c in cells if c[d] == value) == pytest.approx(share * all_, rel=1e-3)
+    kept = Counter(r.lang for r in mixing.sample(spark, docs, targets=targets, budget=0.4).collect())
+    assert kept["fr"] > kept["de"] > kept["en"] > 0
+    some = mixing.fit(spark, Scratch(spark, "t"), docs, targets={"lang": {"fr": 0.0}}, budget=0.4).collect()
+    assert all((c.p == 0) == (c.lang == "fr") for c in some)
+
+
 def test_mixing_stage_agrees_with_the_report(spark):
     docs = spark.createDataFrame([(i, words(50, i), "en", f"s{i % 3}", 1) for i in range(90)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = mixing.sample(spark, docs)
