@@ -39,7 +39,7 @@ def _ends(p, results) -> Result:
 
 
 def _sweep_study(spark, kind: str) -> Study:
-    inner = Step("power", expression={"result": F.col("o") * F.col("o")}, uses=["o"]) if kind == "expression" else _counted([])
+    inner = Step("power", expression={"result": F.col("o") * F.col("o")}, uses=["o"]) if kind == "expression" else _counted([], uses=["o"], returns="result double")
     outer = Step("power_sweep", _ends, needs=["power"], swept=["power", "power"], sweep=_from_one_to_ten)
     return Study(spark, _scratch(spark, "study"), ParamSet({"a": 1, "o": Value(2, float)}), [inner, outer])
 
@@ -217,12 +217,10 @@ def q87_animation_frames(spark, sf_dir):
 
 @_query("SELECT event_id, value AS o, value * 2 AS twice FROM events")
 def q88_outer_solver(spark, sf_dir):
-    """A solver that Spark knows nothing of runs as a user's function over batches of inputs."""
-    def solve(batches):
-        for pdf in batches:
-            yield pdf.assign(twice=pdf["o"] * 2)
-
-    return _t(spark, sf_dir, "events").select("event_id", F.col("value").alias("o")).mapInPandas(solve, "event_id long, o double, twice double")
+    """A solver that Spark knows nothing of runs as a step's function, on the executors, once for each input."""
+    step = Step("solver", lambda p, results: Result({"twice": p["o"] * 2}), uses=["o"], returns="twice double")
+    study = Study(spark, _scratch(spark, "study"), steps=[step])
+    return study.run_sweep("solver", _t(spark, sf_dir, "events").select("event_id", F.col("value").alias("o"))).select("event_id", "o", "twice")
 
 
 @_query("SELECT event_id, value AS o, value * value AS result FROM events")

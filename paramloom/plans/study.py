@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import copy
 import json
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -112,12 +113,15 @@ class Step:
     Sweep over which a needed step runs, or None for a single run. swept: the
     needs that sweep may answer for. uses: the parameters (dotted) the step
     depends on; a function step may leave it out and have its reads recorded.
+    returns: the columns of a function's values (DDL); with it and uses, a
+    function that needs no other step runs over whole sweeps on the executors.
     """
 
     name: str
     run: Callable[[ParamSet, dict[str, Any]], Result] | None = None
     expression: dict[str, Column] | None = None
     uses: list[str] | None = None
+    returns: str | None = None
     needs: list[str] = field(default_factory=list)
     swept: list[str] = field(default_factory=list)
     sweep: Callable[[str, ParamSet, dict[str, Any]], Sweep | None] | None = None
@@ -133,6 +137,14 @@ class Step:
         if self.expression is not None and self.uses is None:
             raise ValueError(f"expression step {self.name} must say what it uses")
 
+    @property
+    def over_tables(self) -> bool:
+        """Whether the step runs over a whole sweep at once."""
+        return not self.needs and (self.expression is not None or bool(self.uses and self.returns))
+
+    def value_names(self) -> list[str]:
+        return list(self.expression) if self.expression is not None else T.StructType.fromDDL(self.returns).names
+
 
 class Study:
     def __init__(self, spark: SparkSession, root: str, params: ParamSet | None = None, steps: list[Step] | dict[str, Step] | None = None, codecs: Registry | None = None):
@@ -238,14 +250,13 @@ class Study:
 
     def _swept(self, child: str, params: ParamSet, batch: Sweep, options: Options) -> Any:
         step = self.steps[child]
-        if step.expression is not None and not step.needs:
+        if step.over_tables:
             for key in step.uses:
                 if key not in (batch.schema or {}):
                     params.at(key)
             base = {k: params.node(k).read() for k in step.uses if k not in (batch.schema or {})}
             done = self.run_sweep(child, batch.frame(self.spark), base, options)
-            values = list(step.expression)
-            return SweptResults(done, values)
+            return SweptResults(done, step.value_names())
         out: dict[str, Result] = {}
         for batch_id, overrides in batch.runs.items():
             inner = params.overlaid(unflatten(overrides))
@@ -270,8 +281,8 @@ class Study:
         joined once; the others are computed in one pass and appended.
         """
         step, options = self.steps[name], options or Options()
-        if step.expression is None:
-            raise TypeError(f"step {name} has no expression to run over a sweep")
+        if not step.over_tables:
+            raise TypeError(f"step {name} has neither an expression nor the uses and returns of a function to run over a sweep")
         rows = sweep
         for key, value in (base or {}).items():
             if key not in rows.columns:
@@ -284,9 +295,12 @@ class Study:
         env_schema = {k: self._stored_type(quoted.schema[c].dataType) for k, c in keys.items()}
         form = canonical_column(quoted, keys)
         keyed = quoted.withColumn("_form", form).withColumn("_key", address_column(F.col("_form")))
-        values = {v: c.alias(v) for v, c in step.expression.items()}
-        computed = F.struct(*values.values())
-        kinds = quoted.select(computed.alias("_c")).schema["_c"].dataType
+        values = step.value_names()
+        if step.expression is not None:
+            computed = F.struct(*[c.alias(v) for v, c in step.expression.items()])
+            kinds = quoted.select(computed.alias("_c")).schema["_c"].dataType
+        else:
+            computed, kinds = None, T.StructType.fromDDL(step.returns)
         usable = options.cache and not options.force and not step.history
         version = self.store.version_of(step.name, env_schema, None, step.changelog, step.description) if options.cache else None
         if usable:
@@ -294,6 +308,9 @@ class Study:
             keyed = keyed.join(stored, "_key", "left")
         else:
             keyed = keyed.withColumn("_stored", F.lit(None).cast(kinds))
+        if computed is None:
+            results = self._computed(step, keyed.filter("_stored is null").dropDuplicates(["_key"]), keys, kinds)
+            keyed, computed = keyed.join(results, "_key", "left"), F.col("_made")
         chosen = keyed.withColumn("_out", F.coalesce("_stored", computed)).withColumn("_hit", F.col("_stored").isNotNull())
         if options.cache:
             fresh = chosen.filter("not _hit").select(
@@ -310,13 +327,37 @@ class Study:
             F.when(F.col("_hit"), "cache").otherwise("computed").alias("source"),
         )
 
+    def _computed(self, step: Step, missing: DataFrame, keys: dict[str, str], kinds: T.StructType) -> DataFrame:
+        """(_key, _made): a function step over inputs that differ, in Arrow batches on the executors; written, so that it runs once."""
+        import pandas as pd
+
+        params, run, names = copy.deepcopy(self.params), step.run, kinds.names
+        for node in params.walk():
+            node.used = False
+
+        def over(batches):
+            for pdf in batches:
+                made = []
+                for row in pdf.to_dict("records"):
+                    given = {k: None if pd.isna(row[c]) else row[c].item() if hasattr(row[c], "item") else row[c] for k, c in keys.items()}
+                    inner = params.overlaid(unflatten(given))
+                    inner.begin_run(True)
+                    inner.lock()
+                    values = run(inner, {}).values
+                    made.append({v: values[v] for v in names})
+                yield pd.DataFrame({"_key": pdf["_key"], "_made": made})
+
+        schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_made", kinds)])
+        return self._written(missing.select("_key", *keys.values()).mapInPandas(over, schema))
+
     def _kept(self, chosen: DataFrame) -> DataFrame:
         """Written before the store grows, so that source tells what this call found."""
-        import uuid
+        return self._written(chosen.drop("_form", "_stored", "_made"))
 
+    def _written(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/sweeps/{uuid.uuid4().hex}"
-        chosen.drop("_form", "_stored").write.parquet(path)
-        return self.spark.read.parquet(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     @staticmethod
     def _stored_type(kind: T.DataType) -> str:
@@ -373,8 +414,6 @@ class Study:
         values = params.flat()
         path, files = None, {}
         if result.files:
-            import uuid
-
             path = f"{self.root}/files/{safe_name(step.name)}/{uuid.uuid4().hex}"
             files = {k: self.codecs.write(self.spark, v, f"{path}/{safe_name(k)}") for k, v in result.files.items()}
         version = self.store.version_of(step.name, schema_of(values), files, step.changelog, step.description)

@@ -129,6 +129,32 @@ def test_run_sweep_joins_the_store(spark, tmp_path):
         study.run_sweep("power", spark.range(1).selectExpr("1.0D as o"))
 
 
+def test_functions_run_over_whole_sweeps(spark, tmp_path):
+    params = ParamSet({"k": 3, "l": {"o": Value(1, float)}, "unread": 5})
+    step = Step("power", lambda p, r: Result({"result": p["l"]["o"] * p["k"], "name": f"<{p.k}>"}), uses=["l.o", "k"], returns="result double, name string")
+    outer = Step("outer", lambda p, r: Result({"total": sum(x["result"] for x in r["power"].values())}), needs=["power"], swept=["power"],
+                 sweep=lambda name, p, r: sweeping_of("l.o", [1.0, 4.0, 5.0]))
+    study = Study(spark, str(tmp_path), params, [step, outer])
+    sweep = spark.createDataFrame([(1.0,), (2.0,), (2.0,)], "`l.o` double")
+    first = sorted((r[0], r.result, r.name, r.source) for r in study.run_sweep("power", sweep, {"k": 3}).collect())
+    assert first == [(1.0, 3.0, "<3>", "computed"), (2.0, 6.0, "<3>", "computed"), (2.0, 6.0, "<3>", "computed")]
+    assert study.store.results("power").count() == 2
+    result, inner = study.run("outer")
+    assert result["total"] == 30.0 and inner["power"]["4.0"]["result"] == 12.0 and len(inner["power"]) == 3
+    assert study.store.results("power").count() == 4
+    uncached = study.run_sweep("power", sweep, {"k": 3}, Options(cache=False))
+    assert [r.source for r in uncached.collect()] == ["computed"] * 3
+    with pytest.raises(KeyError):
+        inner["power"]["7.0"]
+
+
+def sweeping_of(key, values):
+    batch = Sweep()
+    for x in values:
+        batch.add(str(x), {key: x})
+    return batch
+
+
 def test_force_reaches_levels(spark, tmp_path, params):
     inner, calls = counted()
     outer = Step("outer", lambda p, r: Result({"x": r["power"]["result"] + 1}), needs=["power"])
