@@ -24,14 +24,18 @@ SMALL = 500_000
 FEW = 8
 
 
+#: Folders of local sessions that name none, by application: the setting can't be changed while one runs.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only a local session without one gets its own."""
     place = spark.conf.get(DIR, None)
     if not place:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise RuntimeError(f"{DIR} must name a folder that all executors share")
-        place = tempfile.mkdtemp(prefix="paramloom-")
-        spark.conf.set(DIR, place)
+        app = spark.sparkContext.applicationId
+        place = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="paramloom-")
     return place
 
 

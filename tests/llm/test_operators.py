@@ -643,6 +643,22 @@ def test_short_repeats_are_removed(spark):
 
 # the pipeline
 
+def test_a_local_session_without_a_shared_folder_gets_one():
+    class Context:
+        applicationId = "app"
+
+    class Session:
+        sparkContext = Context
+
+        def __init__(self, master):
+            self.conf = {"spark.master": master}
+
+    here = scratch_module.shared_dir(Session("local[2]"))
+    assert os.path.isdir(here) and scratch_module.shared_dir(Session("local[2]")) == here
+    with pytest.raises(RuntimeError):
+        scratch_module.shared_dir(Session("spark://host"))
+
+
 def test_tables_of_a_stage_go_when_the_next_begins(spark, tmp_path):
     hard(spark).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
