@@ -7,8 +7,8 @@ ones shrink and rare ones grow. All are made to sum to one. Raking scales
 the cells' keeping probabilities to meet the source targets, then the
 language targets, then the topic targets, ``ROUNDS`` times over; a
 probability is at most one, so a cell never gives more than it has. A
-document stays if a uniform number made from its doc_id is below its cell's
-probability: the expected tokens are ``BUDGET`` times all tokens, as far as
+document stays if a uniform number made from its doc_id and its text is below
+its cell's probability: the expected tokens are ``BUDGET`` times all tokens, as far as
 the cells reach.
 
 The topic is the document's register unless the caller gives a column:
@@ -22,8 +22,8 @@ works and a source with a third of the rows is one cell per task. The result
 joins documents to cells, broadcast only if Spark finds them small.
 
 Edge cases. Null source, language or text are values like any other (null
-text: no words). Null doc_id draws as the empty string; repeated rows share
-their draw. Cells without tokens keep probability one. Empty table: empty
+text: no words). Null doc_id draws as the empty string; only rows with the
+same doc_id and text share their draw. Cells without tokens keep probability one. Empty table: empty
 result. Other columns are not read.
 """
 
@@ -58,7 +58,7 @@ def _described(docs: DataFrame, topic: str | None = None) -> DataFrame:
             "_lang": F.expr("coalesce(cast(lang as string), '')"),
             "_topic": F.expr("coalesce(_given, '')" if topic else register),
         }
-    ).select("doc", "doc_id", "_source", "_lang", "_topic", "_tokens")
+    ).select("doc", "doc_id", "_source", "_lang", "_topic", "_tokens", F.expr(f"md5({t})").alias("_body"))
 
 
 def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, topic: str | None = None, budget: float = BUDGET, rounds: int = ROUNDS, targets: Targets | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, topic: str | Non
     return now.withColumn("p", F.when(F.col("tokens") > 0, F.round("p", 9)).otherwise(F.lit(1.0)))
 
 
-_DRAW = f"cast(conv(substring(md5(concat('{SEED}:', coalesce(cast(doc_id as string), ''))), 1, 8), 16, 10) as double) / 4294967296D"
+_DRAW = f"cast(conv(substring(md5(concat('{SEED}:', coalesce(cast(doc_id as string), ''), ':', _body)), 1, 8), 16, 10) as double) / 4294967296D"
 
 
 def _drawn(spark: SparkSession, docs: DataFrame, topic: str | None, budget: float, targets: Targets | None) -> DataFrame:
@@ -137,14 +137,14 @@ def _oracle() -> str:
     return f"""
 WITH w AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 n AS (SELECT *, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::bigint AS n_tokens FROM w),
-d AS MATERIALIZED (SELECT doc_id, source, lang, n_tokens, CASE WHEN 10 * len(regexp_extract_all(t, '[|]')) > n_tokens THEN 'table'
+d AS MATERIALIZED (SELECT doc_id, source, lang, n_tokens, md5(t) AS body, CASE WHEN 10 * len(regexp_extract_all(t, '[|]')) > n_tokens THEN 'table'
      WHEN n_tokens < 60 THEN 'short' WHEN n_tokens >= 2000 THEN 'long' ELSE 'prose' END AS topic FROM n),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::double AS tokens FROM d GROUP BY ALL),
 {goals},
 p0 AS (SELECT *, {BUDGET}::double AS p FROM cells){steps},
 f AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN round(p, 9) ELSE 1.0 END AS p FROM {last})
 SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability,
-       ('0x' || substr(md5(concat('{SEED}:', doc_id)), 1, 8))::bigint / 4294967296.0::double < p AS kept
+       ('0x' || substr(md5(concat('{SEED}:', doc_id, ':', body)), 1, 8))::bigint / 4294967296.0::double < p AS kept
 FROM d JOIN f USING (source, lang, topic)
 """
 

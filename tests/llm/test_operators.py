@@ -340,6 +340,12 @@ def test_raking_meets_its_targets(spark):
     assert ((got.probability > 0) & (got.probability <= 1)).all()
 
 
+def test_rows_of_one_id_draw_for_themselves(spark):
+    rows = [(7, words(100, i), "en", "s0", 1) for i in range(400)]
+    kept = mixing.sample(spark, spark.createDataFrame(rows, SCHEMA)).count()
+    assert 140 < kept < 260  # a budget of one half
+
+
 def test_raking_to_given_shares(spark):
     rows = [(i, words(100, i), ("en", "de", "fr")[i % 3], f"s{i % 2}", 1) for i in range(600)]
     docs = spark.createDataFrame(rows, SCHEMA)
