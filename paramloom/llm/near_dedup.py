@@ -15,9 +15,10 @@ more; a group is a connected component of links.
    rarest shingles: the prefix that any partner must meet, with positions, so
    that lists bound the overlap of a pair.
 4. Each list links its members to its most central one (a star, not all
-   pairs). Then pairs of a list in different components are formed that can
-   still reach the threshold by size and position; lists are split by size,
-   as only neighbouring sizes can link.
+   pairs). Then the members outside a list's largest component meet those of
+   other components that can still reach the threshold by size and position;
+   lists are split by size, and a member
+   meets only the sizes that its place in the list leaves possible.
 5. Up to the smaller of two sketches' ends the union sketch of a pair is known
    whole. What it shares, and what lies beyond, bound the overlap; pairs that
    can still link are verified by exact Jaccard on the words of both texts.
@@ -28,9 +29,9 @@ sets. ``loss`` above zero adds the estimate of the union sketch's smallest
 
 Scale. Shuffles carry hashes and ids. The texts of step 3 are picked by a
 broadcast of their keys if these are at most scratch.SMALL, else by one
-shuffle of the texts; those of candidates are shuffled for verification. Lists are counted
-with map-side aggregation and stars are joins of stored tables, which Spark
-splits where a list is long. A shingle in very many documents is the last to
+shuffle of the texts; those of candidates are shuffled for verification.
+Lists are counted with map-side aggregation and stars are joins of stored
+tables, which Spark splits where a list is long. A shingle in very many documents is the last to
 be indexed, so it makes a list only for documents that have hardly any rarer
 ones. Components run on distributed edges.
 
@@ -279,16 +280,23 @@ def near_groups(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, k:
     labelled = s.save(
         index.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled"
     )
-    mixed = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    mixed = s.save(mixed.select("value"), "mixed")
-    open_ = s.save(labelled.join(mixed, "value", "left_semi"), "open")
+    parts = labelled.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("value").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main"))
+    mixed = s.save(mixed.filter("parts > 1").select("value", "main"), "mixed")
+    width = log(100 / percent) / 8 if percent < 100 else 1.0
+
+    def sized(n: str) -> str:
+        return f"cast(floor(ln({n}) / {width!r}D) as int)"
+
+    open_ = labelled.join(mixed, "value").withColumn("sized", F.expr(sized("n")))
+    open_ = s.save(open_, "open")
     s.drop("labelled", "mixed")
-    # a size bucket is a little wider than the range of sizes that link: the larger of a pair is in the smaller's or the next
-    open_ = open_.withColumn("sized", F.expr(f"cast(floor(ln(n) / {log(100 / percent) * 1.0001 if percent < 100 else 1.0!r}D) as int)"))
     kept = ("node", "n", "pos", "component")
-    x = open_.select("value", F.explode(F.array("sized", F.col("sized") + 1)).alias("sized"), *[F.col(c).alias(f"x_{c}") for c in kept])
-    y = open_.select("value", "sized", *[F.col(c).alias(f"y_{c}") for c in kept])
-    once = "x_component <> y_component and (x_n < y_n or x_n = y_n and x_node < y_node)"
+    least, most_ = f"({percent} * n + 99) div 100", f"(n - pos) * {100 + percent} div {percent} - n"  # the sizes that a partner may have
+    odd = open_.filter(f"component <> main and {least} <= {most_}")
+    x = odd.select("value", F.expr(f"explode(sequence({sized(least)}, {sized(most_)}))").alias("sized"), *[F.col(c).alias(f"x_{c}") for c in kept])
+    y = open_.select("value", "sized", F.expr("component = main").alias("y_main"), *[F.col(c).alias(f"y_{c}") for c in kept])
+    once = "x_component <> y_component and (y_main or x_node < y_node)"
     cross = x.join(y, ["value", "sized"]).filter(f"{once} and {reaches('x_', 'y_')}")
     cross = cross.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     cross = cross.join(s.spark.read.schema("a long, b long").parquet(f"{s.root}/star-pairs"), ["a", "b"], "left_anti")

@@ -583,6 +583,25 @@ def test_a_passage_in_all_documents_makes_few_pairs(spark, monkeypatch, shared):
     assert counts["star-pairs"] + counts["cross-pairs"] <= 600
 
 
+def test_a_large_group_of_near_copies_meets_few_others(spark, monkeypatch):
+    """Most members of the group's lists are in one component; only the others are compared across."""
+    import random
+
+    rng, base = random.Random(3), words(200, 42).split()
+    docs = [(1000 + i, exchanged(base, [rng.randrange(200)], f"u{i}x")) for i in range(300)]
+    docs += [(5000 + i, exchanged(base, list(range(10 * i, 10 * i + 12)), f"v{i}x")) for i in range(12)]
+    seen, drop = {}, Scratch.drop
+
+    def noted(self, *labels):
+        seen.update({n: self.spark.read.parquet(f"{self.root}/{n}").count() for n in labels if "pairs" in n})
+        drop(self, *labels)
+
+    monkeypatch.setattr(Scratch, "drop", noted)
+    got = near_dedup.near_groups(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(docs)
+    assert seen["star-pairs"] + seen["cross-pairs"] < 40 * len(docs)
+
+
 def test_an_estimate_may_drop_links_at_the_stated_chance(spark):
     docs = mutated(60)
     df = spark.createDataFrame(docs, "doc_id long, text string")
