@@ -89,7 +89,7 @@ def pink_weights(spark: SparkSession, n: int, dt: float, f_min: float, f_max: fl
     inside = (F.col("f") >= low) & (F.col("f") <= high) & (F.col("f") > 0)
     s = freqs.withColumn("s", F.when(inside, 1.0 / F.col("f")).otherwise(0.0))
     total = s.agg(F.sum("s").alias("total"))
-    return s.crossJoin(F.broadcast(total)).select("i", "f", F.sqrt(F.expr(f"s / (2D * total * {df!r}D)")).alias("amplitude"))
+    return s.select("i", "f", F.sqrt(F.col("s") / (F.lit(2.0) * total.scalar() * F.lit(df))).alias("amplitude"))
 
 
 def _turn(*parts) -> float:

@@ -2,7 +2,7 @@
 
 A set is a tree of nodes on the driver. Reading a node marks it used; the
 flattened set (dotted keys) of used and visible nodes is what a result
-depends on. ``to_row`` and ``frame`` turn sets into DataFrames.
+depends on. ``frame`` turns sets into a DataFrame.
 """
 
 from __future__ import annotations
