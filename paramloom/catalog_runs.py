@@ -161,9 +161,14 @@ def q83_foreign_files(spark, sf_dir):
     path = _scratch(spark, "foreign")
     groups = _t(spark, sf_dir, "nation").groupBy((F.col("n_nationkey") % 5).alias("i")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
     groups.select("i", F.concat_ws(",", "r.n_name").alias("value")).write.partitionBy("i").text(path)
-    decode = F.udf(lambda content, how=load_object("codecs.decode"): how(bytes(content), "utf-8").rstrip("\n"), "string")
-    files = binary_files(spark, f"{path}/*/*.txt")
-    return files.select(F.regexp_extract("path", "i=([0-9]+)", 1).cast("int").alias("i"), F.md5(decode("content")).alias("digest"))
+
+    def decoded(batches):
+        how = load_object("codecs.decode")
+        for pdf in batches:
+            yield pdf[["path"]].assign(value=[how(bytes(c), "utf-8").rstrip("\n") for c in pdf["content"]])
+
+    files = binary_files(spark, f"{path}/*/*.txt").mapInPandas(decoded, "path string, value string")
+    return files.select(F.regexp_extract("path", "i=([0-9]+)", 1).cast("int").alias("i"), F.md5("value").alias("digest"))
 
 
 _BINS = 12
