@@ -17,8 +17,8 @@ more; a group is a connected component of links.
 4. Each list links its members to its most central one (a star, not all
    pairs). Then the members outside a list's largest component meet those of
    other components that can still reach the threshold by size and position;
-   lists are split by size, and a member
-   meets only the sizes that its place in the list leaves possible.
+   lists are split by size, and a member meets only the sizes that its place
+   in the list leaves possible.
 5. Up to the smaller of two sketches' ends the union sketch of a pair is known
    whole. What it shares, and what lies beyond, bound the overlap; pairs that
    can still link are verified by exact Jaccard on the words of both texts.
